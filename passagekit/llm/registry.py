@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from passagekit.llm import simhash
+from passagekit.llm import bpe, language, lines, packing, pii, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_candidate_boosting": pii.op2_candidate_boosting,
+    "op3_ftrl_quality": quality.op3_ftrl_quality,
+    "op6_fuzzy_line_dedup": lines.op6_fuzzy_line_dedup,
+    "op8_bpe_automaton": bpe.op8_bpe_automaton,
+    "op9_hierarchical_language": language.op9_hierarchical_language,
+    "op10_pattern_packing": packing.op10_pattern_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
