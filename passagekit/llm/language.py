@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagekit.llm.boosting import calibrate
+from passagekit.llm.rows import map_texts, packed
 from passagekit.runtime import ship_code, table
 
 UNKNOWN = "und"
@@ -171,5 +173,23 @@ def identify(docs: DataFrame, each: int = 300) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def predict_rows(docs: DataFrame, each: int = 300) -> DataFrame:
+    """(row, lang_pred, score): identify() for whole rows, as one struct."""
+    x, langs = training_rows(docs, each)
+    shared = docs.sparkSession.sparkContext.broadcast(Hierarchy().fit(x, langs) if len(langs) else None)
+
+    def work():
+        model = shared.value
+
+        def of(texts):
+            grams = [letter_grams(t) if model else None for t in texts]
+            found = [(UNKNOWN, 0.0) if g is None else model.predict(g) for g in grams]
+            return [f[0] for f in found], [f[1] for f in found]
+
+        return of
+
+    return map_texts(packed(docs), work, [("lang_pred", T.StringType()), ("score", T.DoubleType())], [pa.string(), pa.float64()])
+
+
 def op9_hierarchical_language(spark, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

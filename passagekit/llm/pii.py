@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagekit.llm.boosting import BoostedTrees, calibrate
+from passagekit.llm.rows import map_texts, packed
 from passagekit.runtime import ship_code, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -232,11 +234,10 @@ def redact(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
-def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", redacted: bool = False) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), with `redacted` also the text with
-    placeholders for its spans: one row for each row of docs.
+def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row for each row of docs.
 
-    Whole texts are searched; a null text counts as empty (no spans; redacted stays null). Counts and
+    Whole texts are searched; a null text counts as empty (no spans). Counts and
     base_sha256 are of the base spans; spans also has what the model adds. Positions are code points.
     Null and repeated doc_ids come back as they are; other columns are ignored.
     """
@@ -246,22 +247,32 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     def run(batches):
         fitted = shared.value
         for b in batches:
-            counts, shas, every, red = [], [], [], []
+            counts, shas, every = [], [], []
             for raw in b.column(1).to_pylist():
                 t = (raw or b"").decode("utf-8", "replace")
                 base, spans = find_spans(t, fitted)
                 counts.append([sum(s[0] == k for s in base) for k in KINDS])
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 every.append(joined(spans))
-                if redacted:
-                    red.append(None if raw is None else redact(t, spans) if spans else t)
             columns = np.array(counts, np.int64).reshape(-1, 4).T
-            arrays = [b.column(0), *map(pa.array, columns), pa.array(shas, pa.string()), pa.array(every, pa.string()), *[pa.array(red, pa.string())] * redacted]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *["redacted"] * redacted])
+            arrays = [b.column(0), *map(pa.array, columns), pa.array(shas, pa.string()), pa.array(every, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * redacted
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, schema)
 
 
+def redact_rows(docs: DataFrame) -> DataFrame:
+    """(row, text): rows of docs, as one struct, and their texts with placeholders for personal data; a null text stays null."""
+    ship_code(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model())
+
+    def work():
+        fitted = shared.value
+        return lambda texts: ([t and redact(t, find_spans(t, fitted)[1]) for t in texts],)
+
+    return map_texts(packed(docs), work, [("text", T.StringType())], [pa.string()])
+
+
 def op2_candidate_boosting(spark, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
