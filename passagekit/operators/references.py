@@ -283,7 +283,7 @@ def dictionary_spans(df: DataFrame, dictionary: DataFrame, keys: list[str], text
     Word n-grams meet the dictionary (phrase, id) by an equality join, so neither side is scanned for the other;
     overlaps are settled by a fold over the hits of one text. Positions count words from 0."""
     words = df.select(*keys, F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(0))), lambda i: F.when(i + n - 1 <= F.size("w"), F.struct((i - 1).alias("start"), n.alias("n_words"), F.array_join(F.slice("w", i, n), " ").alias("phrase"))))))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.when(i + n - 1 <= F.size("w"), F.struct((i - 1).alias("start"), n.alias("n_words"), F.array_join(F.slice("w", i, n), " ").alias("phrase"))))))
     hits = words.filter(F.size("w") > 0).select(*keys, F.explode(F.filter(grams, lambda g: g.isNotNull())).alias("g")).select(*keys, "g.*").join(dictionary, "phrase")
     kind = "array<struct<start:int,minus:int,n_words:int,phrase:string,id:int>>"
     ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("n_words")).alias("minus"), "n_words", "phrase", F.col("id").cast("int").alias("id"))))
