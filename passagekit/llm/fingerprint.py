@@ -41,7 +41,11 @@ def paragraphs(text: Column) -> Column:
 def _hashes(units: Column) -> Column:
     """array<array<long>>: for the uniform part and each of the two sign words, a hash of every paragraph."""
     base = F.transform(units, lambda u: F.xxhash64(u))
-    return F.array(base, *[F.transform(base, lambda h, j=j: F.xxhash64(h, F.lit(j))) for j in (1, 2)])
+
+    def salted(j: int) -> Column:
+        return F.transform(base, lambda h: F.xxhash64(h, F.lit(j)))
+
+    return F.array(base, salted(1), salted(2))
 
 
 def _vector(hashes: Column) -> Column:
