@@ -212,7 +212,7 @@ class Matcher:
                 piece = text[start : words[i + n - 1][1]]
                 for name, number in self.full:
                     most = 1 if len(name) <= 4 else 2 if len(name) <= 8 else 3
-                    if len(piece) >= 5 and abs(len(piece) - len(name)) <= most and piece[0] == name[0] and 0 < (d := _edits(piece, name, most)) <= most:
+                    if len(piece) >= 5 and abs(len(piece) - len(name)) <= most and 0 < (d := _edits(piece, name, most)) <= most:
                         found.append((start, d, -n, words[i + n - 1][1], number))
         out, at = [], 0
         for start, _, _, end, number in sorted(found):

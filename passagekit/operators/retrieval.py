@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekit.functions.text import and_terms, or_terms, tokens
+from passagekit.runtime import cut
 
 K1, B = 1.2, 0.75
 #: A negative or zero inverse document frequency counts as this.
@@ -94,19 +95,36 @@ def batch_words(queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
 
 
+#: Terms of a batch are broadcast up to this number (a few MB); beyond it both sides are shuffled.
+MOST_TERMS = 100_000
+
+
+def batch_index(passages: DataFrame, forms: tuple[DataFrame, ...]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings, lengths, statistics, document frequencies) for the terms of a batch, each text read once for each.
+
+    The postings of all other terms are left out before anything is shuffled; lengths and statistics are of the whole index."""
+    terms = forms[0].select(F.explode("words").alias("term"))
+    for f in forms[1:]:
+        terms = terms.union(f.select(F.explode("words").alias("term")))
+    terms = cut(terms.distinct())
+    wanted = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
+    posts = cut(postings(passages).join(wanted, "term", "left_semi"))
+    sizes = cut(lengths(passages))
+    return posts, sizes, statistics(sizes), document_frequency(posts)
+
+
 def tiered_search(passages: DataFrame, queries: DataFrame, k: int = 10, fetch: int = 4, only: Column | None = None) -> DataFrame:
     """(query_id, rank, tier, doc_id, paragraph, score): phrase hits before all-words hits before any-word hits.
 
     Each tier fetches fetch * k rows by BM25; a later tier counts only for queries whose earlier tiers found
     fewer than k distinct passages, and a passage keeps its first tier. `only` limits results (such as to an
     edition) but not the statistics. Any-word hits are looked up only for queries that need them."""
-    posts, sizes = postings(passages), lengths(passages)
-    stats, frequency = statistics(sizes), document_frequency(posts)
+    phrase, all_, any_ = forms = batch_words(queries)
+    posts, sizes, stats, frequency = batch_index(passages, forms)
     shown = sizes if only is None else sizes.join(passages.filter(only).select(*KEY), KEY, "left_semi")
-    phrase, all_, any_ = batch_words(queries)
-    found = top(scored_phrases(phrase_hits(phrase, posts), shown, stats), fetch * k).withColumn("tier", F.lit(1))
+    found = cut(top(scored_phrases(phrase_hits(phrase, posts), shown, stats), fetch * k).withColumn("tier", F.lit(1)))
     second = top(scored_terms(term_hits(_lacking(all_, found, k), posts, True), frequency, shown, stats), fetch * k).withColumn("tier", F.lit(2))
-    found = found.unionByName(second)
+    found = cut(found.unionByName(second))
     third = top(scored_terms(term_hits(_lacking(any_, found, k), posts, False), frequency, shown, stats), fetch * k).withColumn("tier", F.lit(3))
     found = found.unionByName(third)
     once = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", *KEY).orderBy("tier"))).filter("_r = 1")

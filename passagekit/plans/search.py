@@ -94,9 +94,8 @@ def query_forms(spark, sf):
 
 
 def _parts(spark, sf):
-    p = _p(spark, sf)
-    posts, sizes = R.postings(p), R.lengths(p)
-    return posts, sizes, R.statistics(sizes), R.document_frequency(posts), R.batch_words(_batch(spark, sf))
+    forms = R.batch_words(_batch(spark, sf))
+    return *R.batch_index(_p(spark, sf), forms), forms
 
 
 @query("fts_phrase", f"with {PASSAGES}, {_POSTS}, {_BATCH}, {_PHRASE} select query_id, doc_id, paragraph, score, rank from {_top('t1', K)}")
@@ -160,7 +159,8 @@ def paragraph_keyword_search(spark, sf):
 )
 def quotation_lookup(spark, sf):
     p, q = _p(spark, sf), _batch(spark, sf)
-    hits = R.phrase_hits(R.batch_words(q)[0], R.postings(p)).join(p, R.KEY).join(F.broadcast(q), "query_id")
+    phrase = R.batch_words(q)[:1]
+    hits = R.phrase_hits(phrase[0], R.batch_index(p, phrase)[0]).join(p, R.KEY).join(F.broadcast(q), "query_id")
     return hits.select("query_id", *R.KEY, "f", F.round(X.overlap(X.word_set(F.col("query")), X.word_set(F.col("text"))), 6).alias("overlap"))
 
 
