@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,12 +31,6 @@ def key_masks(distance: int, blocks: int) -> list[int]:
     return [signed(sum(c)) for c in combinations(block_masks(blocks), blocks - distance)]
 
 
-def block_keys(fp: Column, distance: int, blocks: int) -> Column:
-    """array<long>: one key for each choice of blocks. Hashing may merge keys, which only adds
-    candidates: all are verified."""
-    return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(key_masks(distance, blocks))])
-
-
 def blocks_for(n: int, distance: int) -> int:
     """Blocks such that a key's random neighbours stay few among n distinct fingerprints."""
     for blocks in range(distance + 2, distance + 5):
@@ -55,3 +50,20 @@ def tiled(rows: DataFrame, key: str, tile: int, by: str) -> DataFrame:
     out = rows.withColumn("_t", t).withColumn("_m", mine)
     out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
     return out.withColumn("ti", F.least("_m", "_o")).withColumn("tj", F.greatest("_m", "_o")).drop("_t", "_m", "_o")
+
+
+BITMAP_WORDS = 1 << 20
+
+
+def bitmap(keys: DataFrame):
+    """A broadcast filter of fixed size (8 MB) over keys (h long); a hit may be false, a miss is not."""
+    word = F.pmod(F.shiftrightunsigned("h", 6), F.lit(BITMAP_WORDS))
+    rows = keys.groupBy(word.alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+    bits = np.zeros(BITMAP_WORDS, np.uint64)
+    bits[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def wanted(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (uint64) the filter may hold."""
+    return (bits[(keys >> np.uint64(6)) % np.uint64(bits.size)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)

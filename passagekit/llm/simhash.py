@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.blocks import block_keys, blocks_for, tiled
+from passagekit.llm.blocks import bitmap, blocks_for, key_masks, tiled, wanted
 from passagekit.llm.graph import connected_components
+from passagekit.llm.rows import packed
 from passagekit.runtime import cut, ship_code, table
 
 SEED = 42
@@ -50,42 +51,132 @@ def fingerprints(docs: DataFrame, size: int = 4, text: str = "text", doc_id: str
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _group_links(distance: int):
-    """For each gathered group, star edges that connect whatever its links connect."""
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits (as unsigned: of signed numbers numpy counts the bits of the absolute value)."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def _stars(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+    """Star edges that connect whatever the links among a group's fingerprints connect."""
+    a, c = [], []
+    left = np.ones(fps.size, bool)
+    while left.any():
+        seed = int(np.argmax(left))
+        left[seed] = False
+        front = [seed]
+        while front:
+            at = front.pop()
+            idx = np.flatnonzero(left)
+            near = idx[_distance(fps[idx], fps[at]) <= distance]
+            left[near] = False
+            front.extend(near.tolist())
+            a.extend(repeat(int(fps[seed]), near.size))
+            c.extend(fps[near].tolist())
+    return a, c
+
+
+def _edges(a, c, group=0, over=0):
+    n = len(a)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(np.full(n, group, np.int64)), pa.array(np.full(n, over, np.int32))], ["a", "b", "grp", "over"])
+
+
+def _runs(masks: np.ndarray, distance: int, tile: int):
+    """Rows (c, fp) sorted by (c, masked fp): star edges of every run of equal keys. A run of more than
+    `tile` rows is passed on row by row (over = 1), so a task never holds more than that and a batch."""
+
+    def settle(choice, fp):
+        """Edges of whole runs, none of more than `tile` rows."""
+        key = fp & masks[choice]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])]))
+        size = np.diff(np.append(first, fp.size))
+        a, c = [], []
+        pair = first[size == 2]
+        near = pair[_distance(fp[pair], fp[pair + 1]) <= distance]
+        a += fp[near].tolist()
+        c += fp[near + 1].tolist()
+        for n in np.unique(size[size > 2]).tolist():
+            starts = first[size == n]
+            if n <= 32:  # most runs meet by chance; those without any close pair go together
+                rows = fp[starts[:, None] + np.arange(n)]
+                some = np.zeros(len(rows), bool)
+                for i in range(n - 1):
+                    some |= (_distance(rows[:, i + 1 :], rows[:, i, None]) <= distance).any(axis=1)
+                starts = starts[some]
+            for s in starts.tolist():
+                x, y = _stars(fp[s : s + n], distance)
+                a += x
+                c += y
+        return _edges(a, c)
 
+    def run(batches):
+        none = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        held, long_key = none, None
+        for b in batches:
+            choice, fp = (np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held))
+            key = fp & masks[choice]
+            if long_key is not None:  # rows of a long run that began before
+                n = int(np.argmin(np.append((choice == long_key[0]) & (key == long_key[1]), False)))
+                yield _edges(fp[:n], fp[:n], long_key[2], 1)
+                choice, fp, key = choice[n:], fp[n:], key[n:]
+                if not fp.size:
+                    held = none
+                    continue
+                long_key = None
+            last = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])]))[-1])
+            first = np.append(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])])), fp.size)
+            big = np.flatnonzero(np.diff(first) > tile)
+            short = np.ones(fp.size, bool)
+            for i in big.tolist():
+                s, e = int(first[i]), int(first[i + 1])
+                group = xxhash.xxh64_intdigest(np.array([choice[s], key[s]], np.int64).tobytes()) >> 1
+                yield _edges(fp[s:e], fp[s:e], group, 1)
+                short[s:e] = False
+                if e == fp.size:
+                    long_key = (choice[s], key[s], group)
+            if long_key is None:
+                short[last:] = False
+                held = (choice[last:], fp[last:])
+            else:
+                held = none
+            if short.any():
+                yield settle(choice[short], fp[short])
+        if held[1].size:
+            yield settle(*held)
+
+    return run
+
+
+def _gathered(distance: int):
     def run(batches):
         for b in batches:
-            a, c = [], []
             for fps in b.column(0).to_pylist():
-                f = np.unique(np.array(fps, np.int64))
-                left = np.ones(f.size, bool)
-                while left.any():
-                    seed = int(np.argmax(left))
-                    left[seed] = False
-                    front = [seed]
-                    while front:
-                        at = front.pop()
-                        idx = np.flatnonzero(left)
-                        near = idx[np.bitwise_count(f[idx] ^ f[at]) <= distance]
-                        left[near] = False
-                        front.extend(near.tolist())
-                        a.extend(repeat(int(f[seed]), near.size))
-                        c.extend(f[near].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+                a, c = _stars(np.unique(np.array(fps, np.int64)), distance)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
     return run
 
 
-def near_links(fps: DataFrame, distance: int, blocks: int, tile: int = 4096) -> DataFrame:
+def near_links(fps: DataFrame, distance: int, blocks: int, tile: int = 4096, reach: int | None = None) -> DataFrame:
     """fps (fp long, distinct) -> edges (a, b) whose components are those of all pairs at Hamming
-    distance 1..distance. Groups of two are settled by SQL functions; larger ones are gathered up
-    to `tile` fingerprints at a time (32 KB), beyond that in tile pairs."""
-    keys = fps.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key"))
-    stats = cut(keys.groupBy("key").agg(F.count("*").alias("cnt"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("cnt > 1"))
-    links = stats.filter(f"cnt = 2 and bit_count(lo ^ hi) <= {distance}").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    members = tiled(keys.join(stats.filter("cnt > 2").select("key", "cnt"), "key"), "key", tile, "fp")
+    distance 1..distance; with `reach`, also some pairs up to that distance, namely those that share a key.
+
+    One shuffle deals each fingerprint out by its block keys, as (number of the key, fingerprint): the
+    key itself need not travel. Sorted runs of equal keys are compared as they stream by, and leave
+    star edges. Runs of more than `tile` fingerprints are compared in tile pairs instead."""
+    ship_code(fps.sparkSession)
+    masks, reach = key_masks(distance, blocks), reach or distance
+    key = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("c") + 1).bitwiseAND(F.col("fp"))
+    rows = fps.select(F.explode(F.array(*[F.lit(i) for i in range(len(masks))])).alias("c"), "fp")
+    dealt = rows.repartition(F.xxhash64("c", key)).sortWithinPartitions("c", key).select("c", "fp")
+    found = cut(dealt.mapInArrow(_runs(np.array(masks, np.int64), reach, tile), "a long, b long, grp long, over int"))
+    over = found.filter("over = 1").select(F.col("grp").alias("key"), F.col("a").alias("fp"))
+    counts = over.groupBy("key").agg(F.count("*").alias("cnt"))
+    links = found.filter("over = 0").select("a", "b")
+    if counts.isEmpty():
+        return links
+    members = tiled(over.join(counts, "key"), "key", tile, "fp")
     groups = members.groupBy("key", "ti", "tj").agg(F.collect_list("fp").alias("fps")).select("fps")
-    return links.union(groups.mapInArrow(_group_links(distance), "a long, b long"))
+    return links.union(groups.mapInArrow(_gathered(reach), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, size: int = 4, distance: int = 4, blocks: int | None = None, tile: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -107,13 +198,96 @@ def simhash_components(docs: DataFrame, size: int = 4, distance: int = 4, blocks
     return marked.join(classes.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, size: int = 5, distance: int = 4, **options) -> DataFrame:
-    """Keep one row of docs for each near-duplicate class: that of the smallest doc_id (of repeated
-    ids, one row). Rows with a null doc_id are kept, as nothing tells them apart."""
-    classes = simhash_components(docs, size, distance, **options)
-    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, docs["doc_id"] == kept["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id is null"))
+def _marks(size: int):
+    """(doc_id, h, fp) of each document: h tells word sequences apart."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            h = np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), 3) for t in texts], np.uint64)
+            fps = np.array([simhash64(t, size) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
+
+    return run
+
+
+def _shingle_sets(shared, size: int):
+    """Sorted distinct shingle hashes of the documents whose h may be wanted, each at most once a batch."""
+
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            found = {}
+            for t in b.column(0).to_pylist():
+                words = (t or b"").lower().split()
+                h = xxhash.xxh64_intdigest(b" ".join(words), 3)
+                if h not in found and wanted(bits, np.array([h], np.uint64))[0]:
+                    found[h] = np.unique(np.fromiter(shingle_hashes(words, size), np.uint64)).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.binary())], ["h", "shingles"])
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats; 1 for two empty ones."""
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both / (a.size + b.size - both) if a.size + b.size else 1.0
+
+
+def _alike(reach: int, least: float):
+    """Edges between the documents of a class that are close in bits and share enough shingles, none within what is connected already."""
+
+    def run(batches):
+        for b in batches:
+            a, c = [], []
+            for rows in b.column(0).to_pylist():
+                sets, fps, top = [np.frombuffer(r["shingles"], np.uint64) for r in rows], np.array([r["fp"] for r in rows], np.int64), list(range(len(rows)))
+                sizes = np.array([x.size for x in sets])
+
+                def root(i, top=top):
+                    while top[i] != i:
+                        top[i] = i = top[top[i]]
+                    return i
+
+                for i in range(1, len(rows)):
+                    ratio = np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9
+                    for j in np.flatnonzero(ratio & (_distance(fps[:i], fps[i]) <= reach)).tolist():
+                        x, y = root(i), root(j)
+                        if x != y and jaccard(sets[i], sets[j]) >= least - 1e-12:
+                            top[max(x, y)] = min(x, y)
+                            a.append(rows[i]["h"])
+                            c.append(rows[j]["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 8, blocks: int = 11, reach: int = 14, tile: int = 256) -> DataFrame:
+    """The rows of docs that stay: one for each near-duplicate class, that of the smallest doc_id (of
+    rows that repeat an id, one). Rows with a null doc_id all stay, as nothing tells them apart.
+
+    Documents link when they have the same words, or when their SimHash fingerprints differ in at most `reach`
+    bits and the Jaccard similarity of their shingles of `size` words is at least `similarity`. Block keys find
+    every pair within `distance` bits, and of pairs up to `reach` bits (where similarities of 0.8 end) nearly all:
+    a pair is found as soon as `blocks` - `distance` of its pieces agree. Blank and null texts are one class."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    narrow = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
+    marked = cut(narrow.mapInArrow(_marks(size), "doc_id long, h long, fp long"))
+    unique = marked.groupBy("h", "fp").agg(F.min("doc_id").alias("rep"))
+    classes = connected_components(near_links(unique.select("fp").distinct(), distance, blocks, reach=reach))
+    placed = unique.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
+    several = placed.groupBy("class").agg(F.count("*").alias("cnt")).filter("cnt > 1")
+    members = cut(placed.join(several, "class").select("h", "fp", "class", "cnt"))
+    sets = narrow.select("t").mapInArrow(_shingle_sets(bitmap(members.select("h")), size), "h long, shingles binary").dropDuplicates(["h"])
+    dealt = tiled(members.join(sets, "h"), "class", tile, "h")
+    gathered = dealt.groupBy("class", "ti", "tj").agg(F.collect_list(F.struct("h", "fp", "shingles")).alias("rows"))
+    groups = connected_components(gathered.select("rows").mapInArrow(_alike(reach, similarity), "a long, b long"))
+    rooted = unique.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("g", F.coalesce("root", "h"))
+    kept = rooted.groupBy("g").agg(F.min("rep").alias("kept")).select("kept")
+    rows = packed(docs).withColumn("key", F.col("row.doc_id").cast("long"))
+    first = rows.join(kept, rows["key"] == kept["kept"]).dropDuplicates(["key"]).select("row")
+    return first.unionByName(rows.filter("key is null").select("row")).select("row.*")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
