@@ -131,8 +131,11 @@ class Hierarchy:
 def training_rows(docs: DataFrame, each: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of at most `each` documents for each language, whose crc32(doc_id) mod 4 is not 2: those of the smallest hashed ids."""
     narrow = docs.filter("doc_id is not null and lang is not null and text is not null and crc32(cast(doc_id as string)) % 4 != 2")
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = narrow.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each).select("_id", "_lang")
+    ids = narrow.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang"), F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(64)).alias("_salt"))
+    for by in (("_lang", "_salt"), ("_lang",)):  # a language is cut down in 64 parts before it meets in one
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("_id"), "_id")
+        ids = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each).drop("r")
+    ids = ids.select("_id", "_lang")
 
     def run(batches):
         for b in batches:
