@@ -109,7 +109,7 @@ def loose_bool(value: Column) -> Column:
 def loose_share(value: Column) -> Column:
     """A number from 0 to 1; values above 1 are percents, clamped."""
     x = F.trim(value).try_cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x > 1, x / 100).otherwise(x)))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x > 1, x / 100).otherwise(x))))
 
 
 def html_text(fragment: Column) -> Column:

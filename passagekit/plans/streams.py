@@ -65,7 +65,7 @@ def clean_text(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", X.collapse(X.replace_phrases(ascii_, pairs)).alias("text"))
 
 
-@query("coerce_loose_types", """select event_id, case when k in ('true','1') then true when k in ('false','0') then false else try_cast(k as double) != 0 end as as_bool, round(greatest(0.0, least(1.0, case when try_cast(k as double) > 1 then try_cast(k as double) / 100 else try_cast(k as double) end)), 6) as as_share
+@query("coerce_loose_types", """select event_id, case when k in ('true','1') then true when k in ('false','0') then false else try_cast(k as double) != 0 end as as_bool, case when try_cast(k as double) is not null then round(greatest(0.0, least(1.0, case when try_cast(k as double) > 1 then try_cast(k as double) / 100 else try_cast(k as double) end)), 6) end as as_share
   from (select event_id, json_extract_string(props, '$.k') as k from events)""")
 def coerce_loose_types(spark, sf):
     k = F.get_json_object("props", "$.k")

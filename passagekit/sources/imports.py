@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from passagekit.functions.text import html_text, pdf_text
 from passagekit.runtime import ship_code
 
-EDITION = "books array<struct<name:string,abbreviation:string,chapters:array<struct<chapter:int,verses:array<struct<verse:int,text:string>>>>>>>"
+EDITION = "books array<struct<name:string,abbreviation:string,chapters:array<struct<chapter:int,verses:array<struct<verse:int,text:string>>>>>>"
 PARAGRAPHS = "title string, abbreviation string, book_number int, chapters array<struct<chapter:int,title:string,paragraphs:array<string>>>"
 WORDS = "array<struct<word:string,start:double,end:double,confidence:double,punctuated_word:string>>"
 LIVE = f"type string, is_final boolean, speech_final boolean, channel struct<alternatives:array<struct<transcript:string,confidence:double,words:{WORDS}>>>"
@@ -98,7 +98,7 @@ def chapters_by_anchor(texts: DataFrame, anchors: DataFrame, key: str) -> DataFr
     found = found.withColumn("to", F.coalesce(F.lead("at").over(w), F.char_length("t") + 1))
     if found.filter(F.col("to") < F.col("at")).count():
         raise ValueError("anchors are out of order")
-    return found.select(key, "chapter", F.trim(F.substr("t", F.col("at"), F.col("to") - F.col("at"))).alias("text"))
+    return found.select(key, "chapter", F.regexp_replace(F.substr("t", F.col("at"), F.col("to") - F.col("at")), r"^\s+|\s+$", "").alias("text"))
 
 
 def verse_export(spark: SparkSession, path: str) -> DataFrame:
