@@ -127,3 +127,29 @@ def walk(commands: DataFrame, key: str, order: str, size: int) -> DataFrame:
     listed = commands.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "command"))), lambda c: F.when(c["command"] == "next", 1).when(c["command"] == "previous", -1).otherwise(0)).alias("steps"))
     last = F.aggregate("steps", F.lit(0), lambda at, s: F.greatest(F.lit(0), F.least(F.lit(size - 1), at + s)))
     return listed.select(key, last.alias("position"))
+
+
+def queue_route(detections: DataFrame, least: float = 0.80) -> DataFrame:
+    """Detections that go to the queue: flagged, or direct and sure enough, and not a chapter alone."""
+    return detections.filter(F.col("auto_queued") | (F.col("is_direct") & (F.col("confidence") >= least) & ~F.col("chapter_only")))
+
+
+def completion(typed: Column, name: Column, chapter: Column | None = None) -> Column:
+    """What a typed reference completes to: the name it begins, or the name with the chapter and verse typed so far."""
+    rest = F.regexp_extract(typed, r"\s(\d+(?::\d*)?)$", 1)
+    return F.when(rest == "", name).otherwise(F.concat(name, F.lit(" "), rest))
+
+
+def tab_advance(typed: Column, suggestion: Column) -> Column:
+    """The input after Tab: a begun name is completed and followed by a blank, a chapter gets its colon, a verse stays."""
+    return (
+        F.when(typed.rlike(r"\d+:\d+$"), typed).when(typed.rlike(r"\d+:$"), typed).when(typed.rlike(r"\D\s\d+$"), F.concat(typed, F.lit(":")))
+        .when(F.lower(suggestion).startswith(F.lower(F.trim(typed))), F.concat(suggestion, F.lit(" "))).otherwise(typed)
+    )
+
+
+def roman_name(typed: Column) -> Column:
+    """A leading digit 1 to 3 as the roman numeral that some editions use."""
+    digit = F.regexp_extract(typed, r"^([1-3])\s", 1)
+    numeral = F.when(digit == "1", "I").when(digit == "2", "II").when(digit == "3", "III")
+    return F.when(numeral.isNull(), typed).otherwise(F.concat(numeral, F.substring(typed, 2, 1000)))

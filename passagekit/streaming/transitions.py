@@ -249,3 +249,44 @@ class Queue:
             return {"items": items}, [{**e, "change": "refined", "place": early}]
         items = [*items, key][-self.longest :]
         return {"items": items}, [{**e, "change": "added", "place": len(items) - 1}]
+
+
+class CommandGate:
+    """Voice commands, without those that repeat the last handled value within wait_ms."""
+
+    def __init__(self, wait_ms: int = 5000):
+        self.wait_ms = wait_ms
+
+    def start(self) -> dict:
+        return {"value": None, "at": None}
+
+    def step(self, s: dict, e: dict) -> tuple[dict, list[dict]]:
+        if e["value"] == s["value"] and e["ts"] - s["at"] <= self.wait_ms:
+            return s, []
+        return {"value": e["value"], "at": e["ts"]}, [e]
+
+
+class PlanRun:
+    """A plan's items under commands: activate (item), complete, skip, reset. Completing or skipping the active item
+    activates the next one that is open. The log keeps the latest entries."""
+
+    def __init__(self, log: int = 200):
+        self.log = log
+
+    def start(self) -> dict:
+        return {"items": [], "active": None}
+
+    def step(self, s: dict, e: dict) -> tuple[dict, list[dict]]:
+        command, items, active = e["command"], list(s["items"]), s["active"]
+        if command == "load":
+            return {"items": ["pending"] * e["item"], "active": None}, [{**e, "active": None}]
+        if command == "activate" and 0 <= e["item"] < len(items):
+            active = e["item"]
+        elif command in ("complete", "skip") and active is not None:
+            items[active] = "completed" if command == "complete" else "skipped"
+            active = next((i for i in range(active + 1, len(items)) if items[i] == "pending"), None)
+        elif command == "reset":
+            items, active = ["pending"] * len(items), None
+        else:
+            return s, []
+        return {"items": items, "active": active}, [{**e, "active": active}]

@@ -1,7 +1,7 @@
 import pytest
 
 from passagekit.operators.references import BOOKS, MAX_CHAPTER, Matcher, continuation, detect, hymn_command, names, parse_after, read
-from passagekit.streaming.transitions import Cooldown, Debounce, Detector, Queue, ReadingMode, RollingPrompt, Router, SentenceBuffer, VoiceGate
+from passagekit.streaming.transitions import CommandGate, Cooldown, Debounce, Detector, PlanRun, Queue, ReadingMode, RollingPrompt, Router, SentenceBuffer, VoiceGate
 
 MATCHER = Matcher()
 
@@ -167,3 +167,10 @@ def test_queue_refines_early_references():
 @pytest.mark.parametrize(("text", "want"), [("please sing hymn 12", 12), ("song two hundred fifty one", 251), ("12", None), ("hymn 9999", None)])
 def test_hymns(text, want):
     assert hymn_command(text) == want
+
+
+def test_command_gate_and_plan():
+    out, _ = run(CommandGate(), [{"ts": t, "value": v} for t, v in ((0, "12"), (3000, "12"), (4000, "13"), (5000, "12"), (20_000, "12"))])
+    assert [bool(r) for r in out] == [True, False, True, True, True]
+    out, state = run(PlanRun(), [{"command": "load", "item": 3}, {"command": "activate", "item": 0}, {"command": "complete", "item": None}, {"command": "skip", "item": None}, {"command": "nonsense", "item": None}])
+    assert [r[0]["active"] if r else "-" for r in out] == [None, 0, 1, 2, "-"] and state["items"] == ["completed", "skipped", "pending"]

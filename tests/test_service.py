@@ -25,3 +25,11 @@ def test_removal_templates_terms_and_context(spark):
     items = spark.createDataFrame([(1, 0, "A", "completed", "x", None), (1, 1, "B", "active", "scripture", "h"), (1, 2, "C", "skipped", "x", "h"), (1, 3, "D", "pending", "x", "g")], "plan int, ord int, title string, status string, kind string, hymn string")
     r = V.service_context(items, "plan").first()
     assert (r.active_title, r.next_title, r.n_expected, r.hymns) == ("B", "D", 1, ["g", "h"])
+
+
+def test_typing_helpers(spark):
+    rows = [("Gen", "Genesis", "Genesis "), ("Genesis 3", "Genesis", "Genesis 3:"), ("Genesis 3:", "Genesis", "Genesis 3:"), ("Genesis 3:1", "Genesis", "Genesis 3:1")]
+    df = spark.createDataFrame(rows, "typed string, name string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", V.tab_advance(F.col("typed"), F.col("name"))).collect())
+    got = df.select(V.completion(F.col("typed"), F.col("name")).alias("c"), V.roman_name(F.lit("1 John")).alias("r")).collect()
+    assert [r.c for r in got] == ["Genesis", "Genesis 3", "Genesis 3:", "Genesis 3:1"] and got[0].r == "I John"
