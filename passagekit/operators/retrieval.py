@@ -7,6 +7,8 @@ document frequencies) span the whole index, whatever edition the results are lim
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,25 +47,33 @@ def bm25(weight: Column, f: Column, length: Column, average: Column) -> Column:
     return weight * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
 
 
-def phrase_hits(queries: DataFrame, posts: DataFrame) -> DataFrame:
-    """(query_id, doc_id, paragraph, f): how often the query's words stand in a row. queries: (query_id, words)."""
-    words = queries.filter(F.size("words") > 0).select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
-    starts = words.join(posts, "term").withColumn("start", F.col("pos") - F.col("at"))
-    whole = starts.groupBy("query_id", "n", *KEY, "start").agg(F.count("*").alias("k")).filter("k = n")
-    return whole.groupBy("query_id", *KEY).agg(F.count("*").alias("f"))
+def anchors(queries: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(query_id, words, at, term): the rarest word of each query and its first place. A query with a word that the
+    index lacks has none, as nothing can match all of it."""
+    words = queries.filter(F.size("words") > 0).select("query_id", "words", F.posexplode("words").alias("at", "term"))
+    known = words.join(frequency.select("term", "cf"), "term", "left")
+    rarest = known.groupBy("query_id").agg(F.min_by(F.struct("words", "at", "term"), F.struct("cf", "at")).alias("a"), F.count_if(F.col("cf").isNull()).alias("lacks"))
+    return rarest.filter("lacks = 0").select("query_id", "a.*")
+
+
+def phrase_hits(queries: DataFrame, index: BatchIndex) -> DataFrame:
+    """(query_id, doc_id, paragraph, f): how often the query's words stand in a row. queries: (query_id, words).
+
+    Only the postings of each query's rarest word are looked up; the passages they name are compared word by word."""
+    starts = anchors(queries, index.frequency).join(index.posts, "term").withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0")
+    compared = starts.select("query_id", "words", "start", *KEY).join(index.texts, KEY)
+    return compared.filter(F.slice("toks", F.col("start") + 1, F.size("words")) == F.col("words")).groupBy("query_id", *KEY).agg(F.count("*").alias("f"))
 
 
-def term_hits(queries: DataFrame, posts: DataFrame, every: bool) -> DataFrame:
+def term_hits(queries: DataFrame, index: BatchIndex, every: bool) -> DataFrame:
     """(query_id, doc_id, paragraph, term, f) for passages with every word of a query, or any."""
+    if every:
+        found = anchors(queries, index.frequency).join(index.posts.select("term", *KEY).distinct(), "term").select("query_id", F.array_distinct("words").alias("words"), *KEY)
+        full = found.join(index.texts, KEY).filter(F.size(F.array_except("words", "toks")) == 0)
+        return full.select("query_id", *KEY, "toks", F.explode("words").alias("term")).select("query_id", *KEY, "term", F.size(F.filter("toks", lambda t: t == F.col("term"))).cast("bigint").alias("f"))
     words = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
     # Terms are counted in each passage once, not once a query.
-    counted = posts.join(words.select("term").distinct(), "term", "left_semi").groupBy("term", *KEY).agg(F.count("*").alias("f"))
-    hits = words.join(counted, "term")
-    if not every:
-        return hits
-    want = words.groupBy("query_id").agg(F.count("*").alias("want"))
-    full = hits.groupBy("query_id", *KEY).agg(F.count("*").alias("have")).join(F.broadcast(want), "query_id").filter("have = want").select("query_id", *KEY)
-    return hits.join(full, ["query_id", *KEY])
+    return words.join(index.posts.groupBy("term", *KEY).agg(F.count("*").alias("f")), "term")
 
 
 def scored_phrases(hits: DataFrame, sizes: DataFrame, stats: DataFrame) -> DataFrame:
@@ -99,10 +109,21 @@ def batch_words(queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 MOST_TERMS = 100_000
 
 
-def batch_index(passages: DataFrame, forms: tuple[DataFrame, ...]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(postings, lengths, statistics, document frequencies) for the terms of a batch, each text read once for each.
+@dataclass
+class BatchIndex:
+    """What a batch of queries needs of an index."""
+
+    posts: DataFrame
+    texts: DataFrame
+    sizes: DataFrame
+    stats: DataFrame
+    frequency: DataFrame
+
+
+def batch_index(passages: DataFrame, forms: tuple[DataFrame, ...]) -> BatchIndex:
+    """Postings and document frequencies of a batch's terms, words, lengths and statistics of all passages.
 
-    The postings of all other terms are left out before anything is shuffled; lengths and statistics are of the whole index."""
+    The postings of all other terms are left out before anything is shuffled."""
     terms = forms[0].select(F.explode("words").alias("term"))
     for f in forms[1:]:
         terms = terms.union(f.select(F.explode("words").alias("term")))
@@ -110,7 +131,7 @@ def batch_index(passages: DataFrame, forms: tuple[DataFrame, ...]) -> tuple[Data
     wanted = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
     posts = cut(postings(passages).join(wanted, "term", "left_semi"))
     sizes = cut(lengths(passages))
-    return posts, sizes, statistics(sizes), document_frequency(posts)
+    return BatchIndex(posts, passages.select(*KEY, tokens(F.col("text")).alias("toks")), sizes, statistics(sizes), cut(document_frequency(posts)))
 
 
 def tiered_search(passages: DataFrame, queries: DataFrame, k: int = 10, fetch: int = 4, only: Column | None = None) -> DataFrame:
@@ -120,12 +141,13 @@ def tiered_search(passages: DataFrame, queries: DataFrame, k: int = 10, fetch: i
     fewer than k distinct passages, and a passage keeps its first tier. `only` limits results (such as to an
     edition) but not the statistics. Any-word hits are looked up only for queries that need them."""
     phrase, all_, any_ = forms = batch_words(queries)
-    posts, sizes, stats, frequency = batch_index(passages, forms)
+    index = batch_index(passages, forms)
+    sizes, stats, frequency = index.sizes, index.stats, index.frequency
     shown = sizes if only is None else sizes.join(passages.filter(only).select(*KEY), KEY, "left_semi")
-    found = cut(top(scored_phrases(phrase_hits(phrase, posts), shown, stats), fetch * k).withColumn("tier", F.lit(1)))
-    second = top(scored_terms(term_hits(_lacking(all_, found, k), posts, True), frequency, shown, stats), fetch * k).withColumn("tier", F.lit(2))
+    found = cut(top(scored_phrases(phrase_hits(phrase, index), shown, stats), fetch * k).withColumn("tier", F.lit(1)))
+    second = top(scored_terms(term_hits(_lacking(all_, found, k), index, True), frequency, shown, stats), fetch * k).withColumn("tier", F.lit(2))
     found = cut(found.unionByName(second))
-    third = top(scored_terms(term_hits(_lacking(any_, found, k), posts, False), frequency, shown, stats), fetch * k).withColumn("tier", F.lit(3))
+    third = top(scored_terms(term_hits(_lacking(any_, found, k), index, False), frequency, shown, stats), fetch * k).withColumn("tier", F.lit(3))
     found = found.unionByName(third)
     once = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", *KEY).orderBy("tier"))).filter("_r = 1")
     order = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), *KEY)

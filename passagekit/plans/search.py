@@ -95,25 +95,25 @@ def query_forms(spark, sf):
 
 def _parts(spark, sf):
     forms = R.batch_words(_batch(spark, sf))
-    return *R.batch_index(_p(spark, sf), forms), forms
+    return R.batch_index(_p(spark, sf), forms), forms
 
 
 @query("fts_phrase", f"with {PASSAGES}, {_POSTS}, {_BATCH}, {_PHRASE} select query_id, doc_id, paragraph, score, rank from {_top('t1', K)}")
 def fts_phrase(spark, sf):
-    posts, sizes, stats, _, (phrase, _, _) = _parts(spark, sf)
-    return R.top(R.scored_phrases(R.phrase_hits(phrase, posts), sizes, stats), K)
+    i, (phrase, _, _) = _parts(spark, sf)
+    return R.top(R.scored_phrases(R.phrase_hits(phrase, i), i.sizes, i.stats), K)
 
 
 @query("fts_and", f"with {PASSAGES}, {_POSTS}, {_BATCH}, {_tier('t2', 2, 12, True, '')} select query_id, doc_id, paragraph, score, rank from {_top('t2', K)}")
 def fts_and(spark, sf):
-    posts, sizes, stats, freq, (_, every, _) = _parts(spark, sf)
-    return R.top(R.scored_terms(R.term_hits(every, posts, True), freq, sizes, stats), K)
+    i, (_, every, _) = _parts(spark, sf)
+    return R.top(R.scored_terms(R.term_hits(every, i, True), i.frequency, i.sizes, i.stats), K)
 
 
 @query("fts_or", f"with {PASSAGES}, {_POSTS}, {_BATCH}, {_tier('t3', 3, 10, False, '')} select query_id, doc_id, paragraph, score, rank from {_top('t3', K)}")
 def fts_or(spark, sf):
-    posts, sizes, stats, freq, (_, _, some) = _parts(spark, sf)
-    return R.top(R.scored_terms(R.term_hits(some, posts, False), freq, sizes, stats), K)
+    i, (_, _, some) = _parts(spark, sf)
+    return R.top(R.scored_terms(R.term_hits(some, i, False), i.frequency, i.sizes, i.stats), K)
 
 
 _LACK = "where query_id not in (select query_id from (select distinct query_id, doc_id, paragraph from {}) group by all having count(*) >= " + str(K) + ")"
@@ -146,9 +146,9 @@ def fts_single_edition(spark, sf):
     select query_id, doc_id, paragraph, score, rank from {_top('k', K)}""",
 )
 def paragraph_keyword_search(spark, sf):
-    posts, sizes, stats, freq, (phrase, _, _) = _parts(spark, sf)
+    i, (phrase, _, _) = _parts(spark, sf)
     words = phrase.select("query_id", F.slice("words", 1, 3).alias("words"))
-    return R.top(R.scored_terms(R.term_hits(words, posts, True), freq, sizes, stats), K)
+    return R.top(R.scored_terms(R.term_hits(words, i, True), i.frequency, i.sizes, i.stats), K)
 
 
 @query(
@@ -160,7 +160,7 @@ def paragraph_keyword_search(spark, sf):
 def quotation_lookup(spark, sf):
     p, q = _p(spark, sf), _batch(spark, sf)
     phrase = R.batch_words(q)[:1]
-    hits = R.phrase_hits(phrase[0], R.batch_index(p, phrase)[0]).join(p, R.KEY).join(F.broadcast(q), "query_id")
+    hits = R.phrase_hits(phrase[0], R.batch_index(p, phrase)).join(p, R.KEY).join(F.broadcast(q), "query_id")
     return hits.select("query_id", *R.KEY, "f", F.round(X.overlap(X.word_set(F.col("query")), X.word_set(F.col("text"))), 6).alias("overlap"))
 
 
@@ -241,8 +241,8 @@ def ensemble_fusion(spark, sf):
 
 @query("rank_decay_confidence", f"with {PASSAGES}, {_POSTS}, {_BATCH}, {_tier('t3', 3, 10, False, '')} select query_id, doc_id, paragraph, cast(round(0.75 - 0.04 * (rank - 1), 6) as double) as confidence from {_top('t3', 12)} where round(0.75 - 0.04 * (rank - 1), 6) >= 0.42")
 def rank_decay_confidence(spark, sf):
-    posts, sizes, stats, freq, (_, _, some) = _parts(spark, sf)
-    found = R.top(R.scored_terms(R.term_hits(some, posts, False), freq, sizes, stats), 12)
+    i, (_, _, some) = _parts(spark, sf)
+    found = R.top(R.scored_terms(R.term_hits(some, i, False), i.frequency, i.sizes, i.stats), 12)
     return found.select("query_id", *R.KEY, R.rank_confidence(F.col("rank") - 1).alias("confidence")).filter("confidence is not null")
 
 

@@ -38,11 +38,10 @@ def test_bm25_against_sqlite(spark):
     con.execute("create virtual table t using fts5(text, tokenize='unicode61')")
     con.executemany("insert into t(rowid, text) values (?, ?)", enumerate(texts))
     p = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id long, paragraph long, text string")
-    posts, sizes = R.postings(p), R.lengths(p)
-    stats, freq = R.statistics(sizes), R.document_frequency(posts)
     for query, phrase in (("love", False), ("neighbor home", False), ("your love", True), ("peace", False)):
         q = spark.createDataFrame([(1, query.split())], "query_id int, words array<string>")
-        found = R.scored_phrases(R.phrase_hits(q, posts), sizes, stats) if phrase else R.scored_terms(R.term_hits(q, posts, True), freq, sizes, stats)
+        i = R.batch_index(p, (q,))
+        found = R.scored_phrases(R.phrase_hits(q, i), i.sizes, i.stats) if phrase else R.scored_terms(R.term_hits(q, i, True), i.frequency, i.sizes, i.stats)
         want = con.execute("select rowid, -bm25(t) from t where t match ?", (f'"{query}"' if phrase else query,)).fetchall()
         assert {r.doc_id: r.score for r in found.collect()} == pytest.approx(dict(want), abs=2e-6)
 
