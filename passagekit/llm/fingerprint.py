@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagekit.runtime import table
+from passagekit.runtime import cut, table
 
 #: Fields of a long; the bits above them catch carries and borrows, and no sum overflows a long.
 FIELDS = 0x3FFF7FFF7FFF7FFF
@@ -117,18 +117,18 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", doc_id: str = "do
     empty text stands for it. Two texts without paragraphs have likeness 1. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    marked = with_fingerprint(rows, "t", "fp").withColumn("b", F.shiftright("doc_id", BUCKET_BITS))
-    some = marked.filter("doc_id is not null")
-    ends = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
-    span = 0 if ends.a is None else (ends.z >> BUCKET_BITS) - (ends.a >> BUCKET_BITS) + 1
+    marked = with_fingerprint(rows, "t", "fp")
+    some = rows.filter("doc_id is not null").withColumn("b", F.shiftright("doc_id", BUCKET_BITS))
+    # The first row of every bucket (one in 2^BUCKET_BITS ids at most) follows the last row of the bucket above it.
+    first = some.groupBy("b").agg(F.min_by("t", F.struct(F.bitwise_not("doc_id").alias("i"), F.col("t").alias("t"))).alias("ht"))
+    heads = cut(with_fingerprint(first, "ht", "hfp"))
+    ends = heads.agg(F.min("b").alias("a"), F.max("b").alias("z")).first()
+    lower = following(heads.select(F.col("b").alias("k")), 0 if ends.a is None else ends.z - ends.a + 1)
+    # After the smallest bucket comes the largest.
+    nexts = lower.select(F.col("k").alias("b"), F.coalesce("below", F.lit(ends.z)).alias("below")).join(heads.withColumnRenamed("b", "below"), "below").select("b", "ht", "hfp")
     order = Window.partitionBy("b").orderBy(F.desc("doc_id"), "t")
-    inside = some.select("b", "doc_id", "t", "fp", F.row_number().over(order).alias("r"), F.lead("t").over(order).alias("nt"), F.lead("fp").over(order).alias("nfp"))
-    # The first row of every bucket follows the last row of the bucket above it.
-    heads = inside.filter("r = 1").select("b", "t", "fp")
-    top = F.broadcast(heads.filter(F.col("b") == F.lit(None if ends.z is None else ends.z >> BUCKET_BITS)).select(F.col("t").alias("tt"), F.col("fp").alias("tfp")))
-    lower = following(some.select(F.col("b").alias("k")).distinct(), span).withColumnRenamed("k", "b")
-    nexts = lower.join(heads.select(F.col("b").alias("below"), F.col("t").alias("ht"), F.col("fp").alias("hfp")), "below", "left")
-    nexts = nexts.crossJoin(top).select("b", F.coalesce("ht", "tt").alias("ht"), F.coalesce("hfp", "tfp").alias("hfp"))
+    inside = marked.filter("doc_id is not null").withColumn("b", F.shiftright("doc_id", BUCKET_BITS))
+    inside = inside.select("b", "doc_id", "t", "fp", F.lead("t").over(order).alias("nt"), F.lead("fp").over(order).alias("nfp"))
     linked = inside.join(nexts, "b").select("doc_id", "t", "fp", F.coalesce("nt", "ht").alias("nt"), F.coalesce("nfp", "hfp").alias("nfp"))
     lost = with_fingerprint(marked.filter("doc_id is null").select("doc_id", "t", "fp", F.lit("").alias("nt")), "nt", "nfp")
     both = linked.unionByName(lost)
