@@ -184,9 +184,12 @@ def predict_rows(docs: DataFrame, each: int = 300) -> DataFrame:
     def work():
         model = shared.value
 
+        def one(text):
+            g = letter_grams(text) if model else None
+            return (UNKNOWN, 0.0) if g is None else model.predict(g)
+
         def of(texts):
-            grams = [letter_grams(t) if model else None for t in texts]
-            found = [(UNKNOWN, 0.0) if g is None else model.predict(g) for g in grams]
+            found = [one(t) for t in texts]  # a text's 32 KB of features are gone before the next one's
             return [f[0] for f in found], [f[1] for f in found]
 
         return of
