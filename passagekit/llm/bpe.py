@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import mmap
 import os
 import tempfile
 from collections import Counter
@@ -63,7 +64,6 @@ class Vocabulary:
         self.core = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.token = {i: t for t, i in ranks.items()} | {i: s.encode() for s, i in special.items()}
-        self.decimal = {i: str(i) for i in self.token}
 
     def words(self, text: str):
         """Words and special strings of a text, in order: (is special, list of words)."""
@@ -144,51 +144,63 @@ class Automaton:
         return path
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
-        sizes, at = raw[: 8 * len(self.NAMES)].view("<i8"), 8 * len(self.NAMES)
-        for name, n in zip(self.NAMES, sizes.tolist()):
-            kind = np.dtype(np.uint8 if name in ("label", "final") else np.int32)
-            setattr(self, name, raw[at : at + n * kind.itemsize].view(kind))
-            at += -(-n * kind.itemsize // 8) * 8
-        self.labels = memoryview(self.label)
+        with open(path, "rb") as f:
+            self.file = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        raw = memoryview(self.file)
+        at = 8 * len(self.NAMES)
+        for name, n in zip(self.NAMES, raw[:at].cast("q").tolist()):
+            narrow = name in ("label", "final")
+            size = n if narrow else 4 * n
+            if name == "label":
+                self.labels = at
+            setattr(self, name, raw[at : at + size] if narrow else raw[at : at + size].cast("i"))
+            at += -(-size // 8) * 8
 
     def find(self, word: bytes) -> tuple[int, ...] | None:
         """The ids of a word of the lexicon, or None."""
-        state, rank, first = int(self.first[0]), 0, self.first
-        for c in word:
-            a, b = int(first[state + 1]), int(first[state + 2])
-            hit = bytes(self.labels[a:b]).find(c)
-            if hit < 0:
+        first, skip, target, labels, find = self.first, self.skip, self.target, self.labels, self.file.find
+        state, rank = first[0], 0
+        for i in range(len(word)):
+            arc = find(word[i : i + 1], labels + first[state + 1], labels + first[state + 2]) - labels
+            if arc < 0:
                 return None
-            rank += int(self.skip[a + hit])
-            state = int(self.target[a + hit])
+            rank += skip[arc]
+            state = target[arc]
         if not self.final[state]:
             return None
-        return tuple(self.ids[self.at[rank] : self.at[rank + 1]].tolist())
+        return tuple(self.ids[self.at[rank] : self.at[rank + 1]])
 
 
 class Encoder(dict):
-    """Word -> ids: by the automaton if it has the word, else merged. Remembers a bounded number."""
+    """Word -> (its ids, the ids in decimal, the bytes they decode to): ids by the automaton if it has the
+    word, else merged. Remembers a bounded number."""
 
-    def __init__(self, vocabulary: Vocabulary, automaton: Automaton | None = None, remember: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, automaton: Automaton | None = None, remember: int = 400_000):
         super().__init__()
         self.vocabulary, self.automaton, self.remember = vocabulary, automaton, remember
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
         ids = self.automaton.find(word.encode()) if self.automaton else None
         if ids is None:
             ids = self.vocabulary.merge(word)
+        return self.keep(word, ids)
+
+    def keep(self, word: str, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
         if len(self) >= self.remember:
             self.clear()
-        self[word] = ids
-        return ids
+        made = self[word] = (ids, ",".join(map(str, ids)), b"".join(map(self.vocabulary.token.__getitem__, ids)))
+        return made
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def words(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """What the words and special strings of a text are encoded to, in order."""
+        out: list = []
         for special, words in self.vocabulary.words(text):
-            out += (self.vocabulary.special[w] for w in words) if special else chain.from_iterable(map(self.__getitem__, words))
+            out += [((i := self.vocabulary.special[w],), str(i), w.encode()) for w in words] if special else map(self.__getitem__, words)
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return [*chain.from_iterable([w[0] for w in self.words(text)])]
+
 
 _SENT: dict[tuple[str, str], str] = {}
 
@@ -249,12 +261,14 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, lexicon_words: int =
         for b in batches:
             counts, ids_out, shas, decoded = [], [], [], []
             for x in texts_of(b):
-                ids = encoder.encode(x)
-                counts.append(len(ids))
-                shas.append(hashlib.sha256(",".join(map(v.decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(v.decode(ids).encode()).hexdigest())
+                words = encoder.words(x)
+                decimal = ",".join([w[1] for w in words])
+                counts.append(decimal.count(",") + bool(decimal))
+                shas.append(hashlib.sha256(decimal.encode()).hexdigest())
+                text = b"".join([w[2] for w in words]).decode("utf-8", "replace")
+                decoded.append(hashlib.sha256(text.encode()).hexdigest())
                 if keep_ids:
-                    ids_out.append(ids)
+                    ids_out.append([*chain.from_iterable([w[0] for w in words])])
             columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids_out, pa.list_(pa.int32()))] * keep_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
