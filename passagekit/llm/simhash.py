@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.blocks import bitmap, blocks_for, key_masks, tiled, wanted
+from passagekit.llm.blocks import bitmap, blocks_for, key_masks, min_keys, tiled, wanted
 from passagekit.llm.graph import connected_components
 from passagekit.llm.rows import packed
 from passagekit.runtime import cut, ship_code, table
@@ -156,19 +156,19 @@ def _gathered(distance: int):
     return run
 
 
-def near_links(fps: DataFrame, distance: int, blocks: int, tile: int = 4096, reach: int | None = None) -> DataFrame:
+def near_links(fps: DataFrame, distance: int, blocks: int, tile: int = 4096) -> DataFrame:
     """fps (fp long, distinct) -> edges (a, b) whose components are those of all pairs at Hamming
-    distance 1..distance; with `reach`, also some pairs up to that distance, namely those that share a key.
+    distance 1..distance.
 
     One shuffle deals each fingerprint out by its block keys, as (number of the key, fingerprint): the
     key itself need not travel. Sorted runs of equal keys are compared as they stream by, and leave
     star edges. Runs of more than `tile` fingerprints are compared in tile pairs instead."""
     ship_code(fps.sparkSession)
-    masks, reach = key_masks(distance, blocks), reach or distance
+    masks = key_masks(distance, blocks)
     key = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("c") + 1).bitwiseAND(F.col("fp"))
     rows = fps.select(F.explode(F.array(*[F.lit(i) for i in range(len(masks))])).alias("c"), "fp")
     dealt = rows.repartition(F.xxhash64("c", key)).sortWithinPartitions("c", key).select("c", "fp")
-    found = cut(dealt.mapInArrow(_runs(np.array(masks, np.int64), reach, tile), "a long, b long, grp long, over int"))
+    found = cut(dealt.mapInArrow(_runs(np.array(masks, np.int64), distance, tile), "a long, b long, grp long, over int"))
     over = found.filter("over = 1").select(F.col("grp").alias("key"), F.col("a").alias("fp"))
     counts = over.groupBy("key").agg(F.count("*").alias("cnt"))
     links = found.filter("over = 0").select("a", "b")
@@ -176,7 +176,7 @@ def near_links(fps: DataFrame, distance: int, blocks: int, tile: int = 4096, rea
         return links
     members = tiled(over.join(counts, "key"), "key", tile, "fp")
     groups = members.groupBy("key", "ti", "tj").agg(F.collect_list("fp").alias("fps")).select("fps")
-    return links.union(groups.mapInArrow(_gathered(reach), "a long, b long"))
+    return links.union(groups.mapInArrow(_gathered(distance), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, size: int = 4, distance: int = 4, blocks: int | None = None, tile: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -198,19 +198,52 @@ def simhash_components(docs: DataFrame, size: int = 4, distance: int = 4, blocks
     return marked.join(classes.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _marks(size: int):
-    """(doc_id, h, fp) of each document: h tells word sequences apart."""
+def _marks(size: int, keys: int, minima: int):
+    """(doc_id, h, keys) of each document: h tells word sequences apart; keys are MinHash keys of its shingles, none of a blank text."""
+
+    def made(ids, h, sets):
+        some = np.flatnonzero([x.size for x in sets])
+        n = np.zeros(len(sets) + 1, np.int32)
+        n[some + 1] = keys
+        sizes = np.array([sets[i].size for i in some], np.int64)
+        flat = min_keys(np.concatenate([sets[i] for i in some]), np.cumsum(sizes) - sizes, keys, minima).T.ravel() if some.size else np.zeros(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(n).astype(np.int32)), pa.array(flat.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), lists], ["doc_id", "h", "keys"])
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            h = np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), 3) for t in texts], np.uint64)
-            fps = np.array([simhash64(t, size) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
+            ids, hs, sets, held = [], [], [], 0
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = (t or b"").lower().split()
+                ids.append(doc_id)
+                hs.append(xxhash.xxh64_intdigest(b" ".join(words), 3))
+                sets.append(np.fromiter(shingle_hashes(words, size), np.uint64))
+                held += sets[-1].size
+                if held > CHUNK:
+                    yield made(ids, hs, sets)
+                    ids, hs, sets, held = [], [], [], 0
+            if ids:
+                yield made(ids, hs, sets)
 
     return run
 
 
+def _key_stars(batches):
+    """Rows (key, h) sorted by key -> an edge from the first h of each key to every other."""
+    key, seed = None, None
+    for b in batches:
+        keys, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not keys.size:
+            continue
+        new = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
+        at = np.cumsum(new) - 1
+        firsts = h[new]
+        heads = np.where(at < 0, 0 if seed is None else seed, firsts[at] if firsts.size else 0)
+        key, seed = keys[-1], heads[-1]
+        other = h != heads
+        yield pa.RecordBatch.from_arrays([pa.array(heads[other], pa.int64()), pa.array(h[other], pa.int64())], ["a", "b"])
+
+
 def _shingle_sets(shared, size: int):
     """Sorted distinct shingle hashes of the documents whose h may be wanted, each at most once a batch."""
 
@@ -234,14 +267,14 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (a.size + b.size - both) if a.size + b.size else 1.0
 
 
-def _alike(reach: int, least: float):
-    """Edges between the documents of a class that are close in bits and share enough shingles, none within what is connected already."""
+def _alike(least: float):
+    """Edges between the documents of a class that share enough shingles, none within what is connected already."""
 
     def run(batches):
         for b in batches:
             a, c = [], []
             for rows in b.column(0).to_pylist():
-                sets, fps, top = [np.frombuffer(r["shingles"], np.uint64) for r in rows], np.array([r["fp"] for r in rows], np.int64), list(range(len(rows)))
+                sets, top = [np.frombuffer(r["shingles"], np.uint64) for r in rows], list(range(len(rows)))
                 sizes = np.array([x.size for x in sets])
 
                 def root(i, top=top):
@@ -251,7 +284,7 @@ def _alike(reach: int, least: float):
 
                 for i in range(1, len(rows)):
                     ratio = np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9
-                    for j in np.flatnonzero(ratio & (_distance(fps[:i], fps[i]) <= reach)).tolist():
+                    for j in np.flatnonzero(ratio).tolist():
                         x, y = root(i), root(j)
                         if x != y and jaccard(sets[i], sets[j]) >= least - 1e-12:
                             top[max(x, y)] = min(x, y)
@@ -262,28 +295,28 @@ def _alike(reach: int, least: float):
     return run
 
 
-def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 8, blocks: int = 11, reach: int = 14, tile: int = 256) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, keys: int = 20, minima: int = 4, tile: int = 256) -> DataFrame:
     """The rows of docs that stay: one for each near-duplicate class, that of the smallest doc_id (of
     rows that repeat an id, one). Rows with a null doc_id all stay, as nothing tells them apart.
 
-    Documents link when they have the same words, or when their SimHash fingerprints differ in at most `reach`
-    bits and the Jaccard similarity of their shingles of `size` words is at least `similarity`. Block keys find
-    every pair within `distance` bits, and of pairs up to `reach` bits (where similarities of 0.8 end) nearly all:
-    a pair is found as soon as `blocks` - `distance` of its pieces agree. Blank and null texts are one class."""
+    Documents link when they have the same words, or when the Jaccard similarity of their shingles of `size` words is
+    at least `similarity`. Candidates share one of `keys` MinHash keys of `minima` smallest hashes: a pair of similarity
+    s is missed with a chance of (1 - s^minima)^keys, 3 in 100,000 at 0.8. Blank and null texts are one class."""
     spark = docs.sparkSession
     ship_code(spark)
     narrow = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    marked = cut(narrow.mapInArrow(_marks(size), "doc_id long, h long, fp long"))
-    unique = marked.groupBy("h", "fp").agg(F.min("doc_id").alias("rep"))
-    classes = connected_components(near_links(unique.select("fp").distinct(), distance, blocks, reach=reach))
-    placed = unique.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("root", "fp"))
+    marked = narrow.mapInArrow(_marks(size, keys, minima), "doc_id long, h long, keys array<long>")
+    unique = cut(marked.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    dealt = unique.select(F.explode("keys").alias("key"), "h").repartition(F.xxhash64("key")).sortWithinPartitions("key", "h")
+    classes = connected_components(dealt.mapInArrow(_key_stars, "a long, b long")).toDF("h", "class")
+    placed = unique.select("h", "rep").join(classes, "h")
     several = placed.groupBy("class").agg(F.count("*").alias("cnt")).filter("cnt > 1")
-    members = cut(placed.join(several, "class").select("h", "fp", "class", "cnt"))
+    members = cut(placed.join(several, "class").select("h", "class", "cnt"))
     sets = narrow.select("t").mapInArrow(_shingle_sets(bitmap(members.select("h")), size), "h long, shingles binary").dropDuplicates(["h"])
     dealt = tiled(members.join(sets, "h"), "class", tile, "h")
-    gathered = dealt.groupBy("class", "ti", "tj").agg(F.collect_list(F.struct("h", "fp", "shingles")).alias("rows"))
-    groups = connected_components(gathered.select("rows").mapInArrow(_alike(reach, similarity), "a long, b long"))
-    rooted = unique.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("g", F.coalesce("root", "h"))
+    gathered = dealt.groupBy("class", "ti", "tj").agg(F.collect_list(F.struct("h", "shingles")).alias("rows"))
+    groups = connected_components(gathered.select("rows").mapInArrow(_alike(similarity), "a long, b long"))
+    rooted = unique.select("h", "rep").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("g", F.coalesce("root", "h"))
     kept = rooted.groupBy("g").agg(F.min("rep").alias("kept")).select("kept")
     rows = packed(docs).withColumn("key", F.col("row.doc_id").cast("long"))
     first = rows.join(kept, rows["key"] == kept["kept"]).dropDuplicates(["key"]).select("row")
