@@ -3,13 +3,17 @@
 Besides the strict base patterns, every long run of key characters is a candidate. Its encoding is
 inferred from its characters (hexadecimal, base 32 or base 64), and three tests compare its symbols
 with uniform noise over that alphabet: chi-squared frequencies, runs above and below the middle, and
-correlation of neighbours. A candidate that a test rejects as noise is dropped. For the rest, the
-chance that readable text of the same length would look as even is its p-value, and the
-Benjamini-Hochberg rule, within each encoding and length band, bounds the share of false finds.
+correlation of neighbours. A candidate that a test rejects as noise is dropped. For the rest, a model of
+readable text (changes between small letters, capitals, digits and separators, and letter pairs of English)
+gives the ratio of its probability to that of noise. Readable text has a ratio under r with a chance of at
+most r, so the ratio is the p-value, and the Benjamini-Hochberg rule, within each encoding and length band,
+bounds the share of false finds as far as the model holds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +26,26 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Encoding -> (pattern, alphabet, unevenness of readable text in it for each symbol).
+#: Encoding -> (pattern, alphabet, how readable text changes between the classes of CLASS_OF:
+#: a row for each class before, a column for each class after).
 ENCODINGS = {
-    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.6),
-    "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.6),
-    "base64": (r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 1.5),
+    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", ((0.85, 0.0, 0.15, 0.0), (0.0, 0.0, 0.0, 0.0), (0.05, 0.0, 0.95, 0.0), (0.5, 0.0, 0.5, 0.0))),
+    "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ((0.0, 0.0, 0.0, 0.0), (0.0, 0.95, 0.05, 0.0), (0.0, 0.15, 0.85, 0.0), (0.0, 0.8, 0.2, 0.0))),
+    "base64": (r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", ((0.85, 0.04, 0.03, 0.08), (0.38, 0.54, 0.03, 0.05), (0.07, 0.05, 0.76, 0.12), (0.6, 0.2, 0.18, 0.02))),
 }
+CLASS_OF = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/")
+#: -4 ln of the share of each letter, and of each letter after another (a row), in the English of this repository's
+#: documents, a fifth of it made even: a is 1, b is 2 and so on.
+LETTERS = "kolmippoksqmnklnrjjjnpqqps"
+LETTER_PAIRS = (
+    "somnsrnspsrjmhslsilgjqsrpskorshsssissgosisslosisssjsksqsissiosnorshsshqgnsssrskopndorshsrqrskssojrnrssrs"
+    "lrjkpopsrssnljsoqghkrorlpslsssimssfssmssgssjpkjsssrskpsrfsmlkssnonoqshjomslspsgrqresssissrqmksslnlnsrsls"
+    "olkmnqpsssslmghnsmkisnsqsqksssjssssssssqdsssfsomssssossocqrripsrsnsqrsiplssssshrskgsssgsskqsjsssnlnqrsms"
+    "fjsqgsssjssqjmkjssmspsrssslskhjpisnsonsplrsrihmqsrqsornnrorrosnmkfmmshmnkolssshrsqhspmmsrjsskmsjoiksssns"
+    "sssssssssssesssssqsscsrsssirhnhsqsisprprkrsqinmpssososmrgrsnlsqossmmogmgosqrqshspsfssjhssrrskrsljnosrsos"
+    "ooonkqrslssmkiqlsfijssssspissscsqsgsssqsmsssrssssssslsssjssifssrsjhssmjsssqssslsmskqsplssssssfsrsdsssrss"
+    "snrslqrsqssogjlhsqhhsspssoprrrerrrorrrrrprrrrrorrrff"
+)
 BINS = 400
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,ok:boolean,body:string>>"
 
@@ -47,9 +65,11 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0
     return F.when(text.rlike(pattern), F.filter(F.aggregate(rows, start, step, lambda acc: acc["out"]), lambda s: s["ok"])).otherwise(F.array().cast(_SPAN))
 
 
-def _phi(z: Column) -> Column:
-    """Normal distribution function (logistic approximation with a cubic term, off by less than 2e-4 near the middle)."""
-    return 1.0 / (1.0 + F.exp(-z * (1.5976 + 0.07056 * z * z)))
+def _classes(body: Column) -> tuple[Column, Column]:
+    """For each symbol, the number of its class as a digit; and itself as a small letter, or - if it is no letter."""
+    every = "".join(CLASS_OF)
+    kind = F.translate(body, every, "".join(str(i) * len(x) for i, x in enumerate(CLASS_OF)))
+    return kind, F.translate(body, every, CLASS_OF[0] * 2 + "-" * 12)
 
 
 def _battery(span: Column) -> Column:
@@ -75,7 +95,6 @@ def _tested(c: Column) -> Column:
     n = F.char_length(c["body"]).cast("double")
     size = _by_encoding(c["encoding"], lambda e: float(len(e[1])))
     alphabet = _by_encoding(c["encoding"], lambda e: e[1])
-    uneven = n * _by_encoding(c["encoding"], lambda e: e[2])
     values = F.transform(F.filter(F.split(c["body"], ""), lambda x: x != ""), lambda x: (F.instr(alphabet, x) - 1).cast("double"))
     squares = F.aggregate(F.array_distinct(values), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(values, lambda x: x == v)).cast("double"), 2))
     chi = squares * size / n - n
@@ -95,9 +114,22 @@ def _tested(c: Column) -> Column:
     pairs = F.zip_with(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), lambda x, y: (x - centre) * (y - centre))
     serial_z = F.coalesce((F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v) / F.nullif(spread, F.lit(0.0)) + 1 / n) * F.sqrt(n), F.lit(99.0))
     noise = (chi_z <= 3.3) & (F.abs(runs_z) <= 3.3) & (F.abs(serial_z) <= 3.3)
-    # How likely readable text of this length would be as even: a shifted statistic's lower tail.
-    p = _phi((chi - free - uneven) / F.sqrt(2 * (free + 2 * uneven)))
-    bin_ = F.least(F.floor(-20 * F.log10(F.greatest(p, F.lit(1e-300)))), F.lit(BINS)).cast("int")
+    # -ln of the probability of each symbol in readable text, given the one before it.
+    kind, letter = _classes(c["body"])
+    before_kind, before_letter = F.concat(F.lit("3"), kind), F.concat(F.lit("-"), letter)
+    changes = _by_encoding(c["encoding"], lambda e: [-math.log(max(x, 1e-4)) for row in e[2] for x in row])
+    letters = F.when(c["encoding"] == "hex", math.log(6)).otherwise(0.0)
+    digits = F.when(c["encoding"] == "base32", math.log(6)).otherwise(math.log(10))
+
+    def cost(i: Column) -> Column:
+        here = lambda x: F.ascii(F.substr(x, i, F.lit(1)))
+        now, was, at, old = here(kind) - 48, here(before_kind) - 48, here(letter) - 97, here(before_letter) - 97
+        pair = F.when(old >= 0, F.ascii(F.substr(F.lit(LETTER_PAIRS), 26 * old + at + 1, F.lit(1)))).otherwise(F.ascii(F.substr(F.lit(LETTERS), at + 1, F.lit(1))))
+        shown = F.when(now == 2, digits).when(now == 3, math.log(2)).when(letters > 0, letters).otherwise((pair - 96) / 4)
+        return F.get(changes, 4 * was + now) + shown
+
+    readable = F.aggregate(F.transform(F.sequence(F.lit(1), F.char_length(c["body"])), cost), F.lit(0.0), lambda a, v: a + v)
+    bin_ = F.least(F.floor(20 * F.greatest(readable - n * F.log(size), F.lit(0.0)) / math.log(10)), F.lit(BINS)).cast("int")
     return F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["encoding"].alias("encoding"), F.floor(F.log2(n) * 2).cast("int").alias("band"), F.when(noise, bin_).alias("bin"))
 
 
