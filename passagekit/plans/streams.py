@@ -203,7 +203,7 @@ def _folded(spark, sf):
 
 @query("recent_dedup_12")
 def recent_dedup_12(spark, sf):
-    rows = _turns(spark, sf).select("conv_id", "turn", F.split("text", "[.]")[0].alias("text"), F.lit("final").alias("kind"))
+    rows = _turns(spark, sf).select("conv_id", "turn", "text", F.lit("final").alias("kind"))
     return D.fold(rows, S.Router, "conv_id", ["turn"], "conv_id long, turn long, accepted boolean, reason string")
 
 
@@ -262,7 +262,7 @@ def rolling_prompt(spark, sf):
 
 @query("sentence_buffer")
 def sentence_buffer(spark, sf):
-    rows = _turns(spark, sf).select("conv_id", "turn", (F.col("turn") * 1_000).alias("ts"), F.substring("text", 1, 40).alias("text"))
+    rows = _turns(spark, sf).select("conv_id", "turn", (F.col("turn") * 1_000).alias("ts"), "text")
     return D.fold(rows, S.SentenceBuffer, "conv_id", ["turn"], "conv_id long, text string, why string")
 
 
