@@ -5,9 +5,10 @@ hashed to a wide vector, and a text's fingerprint is the sum of the vectors of i
 field modulo a power of two. The order of paragraphs does not matter, and adding or taking away a
 paragraph is adding or subtracting its vector.
 
-A vector is 38 longs of four packed fields (three of 15 bits, the top one of 14): a count, 5 longs of
-uniform bits (295 bits that tell multisets apart) and 32 longs whose fields are single bits. The sums of
-the latter are 128 sign projections of the multiset, so that two fingerprints also estimate how
+A vector is 70 longs: a count, 5 longs of uniform bits in four packed fields (three of 15 bits, the top one
+of 14; 295 bits that tell multisets apart) and 64 longs of two fields (31 and 30 bits), each of which counts
+a single bit of every paragraph, so none wraps below 2^30 paragraphs. The sums of the latter are 128 sign
+projections of the multiset, so that two fingerprints also estimate how
 much two texts share: 2<a, b> / (<a, a> + <b, b>), 1 for equal multisets and 0 on average for disjoint
 ones, with a standard error of about 0.12 at most.
 """
@@ -22,8 +23,11 @@ from passagekit.runtime import cut, table
 #: Fields of a long; the bits above them catch carries and borrows, and no sum overflows a long.
 FIELDS = 0x3FFF7FFF7FFF7FFF
 GUARDS = 0x4000800080008000
-LOW_BITS = 0x0001000100010001
-UNIFORM, SIGNS = 5, 32
+#: The same for the count and the sign sums.
+WIDE_FIELDS = 0x3FFFFFFF7FFFFFFF
+WIDE_GUARDS = 0x4000000080000000
+WIDE_LOW_BITS = 0x0000000100000001
+UNIFORM, SIGNS = 5, 64
 #: Separates lines, and sentences after . ! or ?
 PARAGRAPH_END = r"\n|(?<=[.!?])\s+"
 BUCKET_BITS = 10
@@ -49,13 +53,13 @@ def _hashes(units: Column) -> Column:
 
 
 def _vector(hashes: Column) -> Column:
-    def total(values: Column, part) -> Column:
-        return F.aggregate(values, _long(0), lambda a, h: (a + part(h)).bitwiseAND(_long(FIELDS)))
+    def total(values: Column, part, fields: int = FIELDS) -> Column:
+        return F.aggregate(values, _long(0), lambda a, h: (a + part(h)).bitwiseAND(_long(fields)))
 
     base = hashes[0]
     uniform = [total(base, lambda h, j=j: F.xxhash64(h, F.lit(100 + j)).bitwiseAND(_long(FIELDS))) for j in range(UNIFORM)]
-    signs = [total(hashes[1 + k // 16], lambda h, k=k: F.shiftrightunsigned(h, k % 16).bitwiseAND(_long(LOW_BITS))) for k in range(SIGNS)]
-    return F.array((F.size(base).cast("long")).bitwiseAND(_long(FIELDS)), *uniform, *signs)
+    signs = [total(hashes[1 + k // 32], lambda h, k=k: F.shiftrightunsigned(h, k % 32).bitwiseAND(_long(WIDE_LOW_BITS)), WIDE_FIELDS) for k in range(SIGNS)]
+    return F.array(F.size(base).cast("long").bitwiseAND(_long(WIDE_FIELDS)), *uniform, *signs)
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -64,14 +68,20 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     return hashed.withColumn(out, _vector(F.col("_hashes"))).drop("_hashes")
 
 
+def _each(narrow: int, wide: int) -> Column:
+    """One value for each long of a fingerprint."""
+    return F.array(_long(wide), *[_long(narrow)] * UNIFORM, *[_long(wide)] * SIGNS)
+
+
 def combine(a: Column, b: Column) -> Column:
     """The fingerprint of both multisets together."""
-    return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(_long(FIELDS)))
+    return F.zip_with(F.zip_with(a, b, lambda x, y: x + y), _each(FIELDS, WIDE_FIELDS), lambda x, m: x.bitwiseAND(m))
 
 
 def remove(a: Column, b: Column) -> Column:
     """The fingerprint of a's multiset without b's."""
-    return F.zip_with(a, b, lambda x, y: (x.bitwiseOR(_long(GUARDS)) - y).bitwiseAND(_long(FIELDS)))
+    guarded = F.zip_with(a, _each(GUARDS, WIDE_GUARDS), lambda x, g: x.bitwiseOR(g))
+    return F.zip_with(F.zip_with(guarded, b, lambda x, y: x - y), _each(FIELDS, WIDE_FIELDS), lambda x, m: x.bitwiseAND(m))
 
 
 def text_form(fp: Column) -> Column:
@@ -80,17 +90,17 @@ def text_form(fp: Column) -> Column:
 
 
 def _projections(fp: Column) -> Column:
-    """array<long>: 2 * ones - count of every sign field, modulo 2^14 around zero."""
-    fields = F.flatten(F.transform(F.slice(fp, 2 + UNIFORM, SIGNS), lambda x: F.array(*[F.shiftrightunsigned(x, 16 * f) for f in range(4)])))
-    return F.transform(fields, lambda c: (2 * c.bitwiseAND(_long(0x3FFF)) - fp[0] + 8192).bitwiseAND(_long(0x3FFF)) - 8192)
+    """array<double>: 2 * ones - count of every sign field."""
+    fields = F.flatten(F.transform(F.slice(fp, 2 + UNIFORM, SIGNS), lambda x: F.array(x.bitwiseAND(_long(0x7FFFFFFF)), F.shiftrightunsigned(x, 32))))
+    return F.transform(fields, lambda c: (2 * c - fp[0]).cast("double"))
 
 
 def likeness(a: Column, b: Column, pa: Column, pb: Column) -> Column:
     """Estimated share of two fingerprints a, b with projections pa, pb, between 0 and 1; exactly 1 if they are equal."""
     def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda s, t: s * t), _long(0), lambda u, v: u + v)
+        return F.aggregate(F.zip_with(x, y, lambda s, t: s * t), F.lit(0.0), lambda u, v: u + v)
 
-    share = 2.0 * dot(pa, pb) / F.greatest(dot(pa, pa) + dot(pb, pb), _long(1))
+    share = 2.0 * dot(pa, pb) / F.greatest(dot(pa, pa) + dot(pb, pb), F.lit(1.0))
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
