@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagekit.operators import corpus as C
+from passagekit.operators.references import MAX_CHAPTER, is_valid
 from passagekit.runtime import table
 
 PASSAGES = """passages as (select doc_id, cast(paragraph as bigint) as paragraph, text, lang, source from (
@@ -140,6 +141,13 @@ def impossible_references(spark, sf):
     return rows.filter(~(F.col("book").between(1, 66) & F.col("chapter").between(1, most)))
 
 
+@query("impossible_references_all", f"select l_orderkey, l_linenumber, l_partkey % 70 as book, l_suppkey as chapter from lineitem where not (l_partkey % 70 between 1 and 66 and l_suppkey between 1 and {MAX_CHAPTER}[l_partkey % 70])")
+def impossible_references_all(spark, sf):
+    """impossible_references by every book's own number of chapters."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 70).alias("book"), F.col("l_suppkey").alias("chapter"))
+    return rows.filter(~is_valid(F.col("book"), F.col("chapter")))
+
+
 @query(
     "replace_by_key",
     "select o_orderkey, o_totalprice from orders where o_orderstatus != 'F' union all select o_orderkey, 0.0 from orders where o_orderstatus = 'F'",
