@@ -320,6 +320,34 @@ def word_overlap(spark, sf):
     return docs.join(F.broadcast(bench), "item_id").select("item_id", "doc_id", F.round(X.overlap(F.col("bs"), F.col("ws")), 6).alias("overlap"))
 
 
+def _distinct_words(rows, key):
+    """(key, word, n): the distinct words of each row, and how many it has."""
+    return rows.select(key, X.word_set(F.col("text")).alias("ws")).select(key, F.size("ws").alias("n"), F.explode("ws").alias("word"))
+
+
+def _word_rows(name, key, rows):
+    """The same as a common table expression."""
+    return f"{name} as (select {key}, len(ws) as n, unnest(ws) as word from (select {key}, list_distinct(list_filter({_TOK.format('text')}, lambda t: strlen(t) >= 2)) as ws from {rows}))"
+
+
+@query("word_overlap_all", f"""with {_word_rows('w', 'doc_id', 'documents')}, {_word_rows('b', 'item_id', 'benchmark')}
+  select item_id, doc_id, round(count(*) / any_value(b.n), 6) as overlap from b join w on b.word = w.word group by item_id, doc_id""")
+def word_overlap_all(spark, sf):
+    """Every document and benchmark item with a common word: the share of the item's words that the document has."""
+    docs = _distinct_words(table(spark, sf, "documents"), "doc_id").drop("n")
+    met = docs.join(_distinct_words(table(spark, sf, "benchmark"), "item_id"), "word")
+    return met.groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.first("n"), 6).alias("overlap"))
+
+
+@query("jaccard_similarity_all", f"""with {_word_rows('w', 'item_id', 'benchmark')}
+  select a.item_id as a, b.item_id as b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) as jaccard from w a join w b on a.word = b.word and a.item_id < b.item_id group by a.item_id, b.item_id""")
+def jaccard_similarity_all(spark, sf):
+    """Every two benchmark items with a common word."""
+    words = _distinct_words(table(spark, sf, "benchmark"), "item_id")
+    met = words.toDF("a", "n", "word").join(words.toDF("b", "m", "word"), "word").filter("a < b")
+    return met.groupBy("a", "b").agg(F.round(F.count("*") / (F.first("n") + F.first("m") - F.count("*")), 6).alias("jaccard"))
+
+
 @query("label_quality", "select l.quality, count(*) as n_docs, count(*) filter (contains(text, '***')) as n_noisy from documents d join labels l on d.doc_id = l.doc_id group by all")
 def label_quality(spark, sf):
     joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
