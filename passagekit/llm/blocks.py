@@ -52,18 +52,19 @@ def tiled(rows: DataFrame, key: str, tile: int, by: str) -> DataFrame:
     return out.withColumn("ti", F.least("_m", "_o")).withColumn("tj", F.greatest("_m", "_o")).drop("_t", "_m", "_o")
 
 
-_MIXERS = np.random.default_rng(6).integers(0, 1 << 64, (2, 128), np.uint64) | np.array([[0], [1]], np.uint64)
+_MIXERS = np.random.default_rng(6).integers(0, 1 << 64, 128, np.uint64) | np.uint64(1)
 
 
-def min_keys(h: np.ndarray, starts: np.ndarray, keys: int, minima: int, late: np.ndarray | None = None) -> np.ndarray:
+def min_keys(h: np.ndarray, starts: np.ndarray, keys: int, minima: int) -> np.ndarray:
     """MinHash keys (uint64, one row a key) of groups of hashes h that begin at `starts`, none empty: each from
-    the least of `minima` mixings. Hashes whose top bit is set in `late` count only where a group has no other."""
+    the least of `minima` mixings."""
     out = np.empty((keys, starts.size), np.uint64)
+    mixed = np.empty_like(h)
     for c in range(keys):
         key = np.full(starts.size, c + 1000 * minima, np.uint64)
         for j in range(c * minima, (c + 1) * minima):
-            mixed = (h ^ _MIXERS[0, j]) * _MIXERS[1, j] >> np.uint64(1)
-            key = (key ^ np.minimum.reduceat(mixed if late is None else mixed | late, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            np.multiply(h, _MIXERS[j], out=mixed)
+            key = (key ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         out[c] = key
     return out

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 import xxhash
 
 from passagekit.llm.graph import connected_components
-from passagekit.llm.lines import dedup_lines, edit_distance, normal_lines, similar, word_set_simhash
+from passagekit.llm.lines import dedup_lines, edit_distance, normal_lines, numbered_lines, similar
 from passagekit.llm.simhash import near_dedup, near_links, simhash64, simhash_components
 
 
@@ -91,11 +92,18 @@ def test_edit_distance(seed):
     assert edit_distance(a, b) == row[-1]
 
 
-def slow_lines(docs, distance, least):
-    lines = [(d, i, b" ".join(w), w) for d, t in docs if d is not None for i, w in enumerate(normal_lines(t)) if w]
+def slow_lines(docs, least):
+    """By edit similarity of all pairs of lines, without fingerprints or keys."""
+    lines = [(d, i, b" ".join(w).decode("utf-8", "replace"), w) for d, t in docs if d is not None for i, w in enumerate(normal_lines(t)) if w]
     texts = sorted({x[2] for x in lines})
-    fp = dict(zip(texts, word_set_simhash([t.split() for t in texts]).tolist()))
-    top = classes([(a, b) for a, b in combinations(texts, 2) if (fp[a] ^ fp[b]).bit_count() <= distance and similar(a.decode(), b.decode(), least)], texts)
+    letters = {x: Counter(x) for x in texts}
+
+    def near(a, b):
+        if (n := max(len(a), len(b))) * least > min(len(a), len(b)) or sum((letters[a] - letters[b]).values()) > (1 - least) * n + 1e-9:
+            return False
+        return similar(a, b, least)
+
+    top = classes([(a, b) for a, b in combinations(texts, 2) if near(a, b)], texts)
     first = {}
     for d, i, t, _ in sorted(lines, key=lambda x: x[:2]):
         first.setdefault(top[t], (d, i))
@@ -103,6 +111,18 @@ def slow_lines(docs, distance, least):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs if d is not None}
 
 
+def test_line_ids_tell_normalised_lines_apart(spark):
+    rng = random.Random(6)
+    parts = ["a", "B", "b", "É", "é", "ß", "x" * 300, "x" * 301, "y" * 700, "12", "...", "\t", "  ", "\u00a0", "\u2028", "word", "Wörter", "abcdefgh", "abcdefghi", "ab", "c", "\x0b"]
+    texts = ["\n".join("".join(rng.choices([*parts, " "], k=rng.randint(0, 14))) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    texts += [" ".join(f"w{i}" for i in range(n)) for n in (10, 11, 300, 2000)] + ["", "\n\n", "z " * 70_000, "q" * 100_000, "\n".join(f"line {i} of a long text with some more words in it" for i in range(100_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.h for r in numbered_lines(df).collect()}
+    want = {(d, i): b" ".join(w) for d, t in enumerate(texts) for i, w in enumerate(normal_lines(t)) if w}
+    assert got.keys() == want.keys()
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[k], want[k]) for k in got})
+
+
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_line_dedup_against_brute_force(spark, sf, tile):
     rng = random.Random(3)
@@ -118,7 +138,7 @@ def test_line_dedup_against_brute_force(spark, sf, tile):
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, docs[0][1]), (None, docs[0][1]), (104, "x " * 3000)]
     df = spark.createDataFrame([(d, t, "h", 1) for d, t in docs], "doc_id long, text string, h string, line_no int")
     got = dedup_lines(df, tile=tile).collect()
-    want = slow_lines(docs, 4, 0.8)
+    want = slow_lines(docs, 0.8)
     assert {r.row.doc_id: r.text for r in got if r.row.doc_id is not None} == want
     assert [r.text for r in got if r.row.doc_id is None] == [docs[0][1]]
     for r in got:

@@ -27,7 +27,7 @@ def test_stages_against_plain_python(spark, sf, tmp_path):
         if name == "language_id":
             assert kept[-1] == set(before) - {900, 901}
         elif name == "line_dedup":
-            want = slow_lines([(d, r.text) for d, r in before.items()], 4, 0.8)
+            want = slow_lines([(d, r.text) for d, r in before.items()], 0.8)
             assert {r.doc_id: r.text for r in after} == want
             assert all(r.n_chars == len(r.text) for r in after)
         elif name == "simhash_near_dedup":
