@@ -6,7 +6,7 @@ field modulo a power of two. The order of paragraphs does not matter, and adding
 paragraph is adding or subtracting its vector.
 
 A vector is 70 longs: a count, 5 longs of uniform bits in four packed fields (three of 15 bits, the top one
-of 14; 295 bits that tell multisets apart) and 64 longs of two fields (31 and 30 bits), each of which counts
+of 14; 295 bits that tell multisets apart, each long from a hash with a seed of its own) and 64 longs of two fields (31 and 30 bits), each of which counts
 a single bit of every paragraph, so none wraps below 2^30 paragraphs. The sums of the latter are 128 sign
 projections of the multiset, so that two fingerprints also estimate how
 much two texts share: 2<a, b> / (<a, a> + <b, b>), 1 for equal multisets and 0 on average for disjoint
@@ -43,23 +43,21 @@ def paragraphs(text: Column) -> Column:
 
 
 def _hashes(units: Column) -> Column:
-    """array<array<long>>: for the uniform part and each of the two sign words, a hash of every paragraph."""
-    base = F.transform(units, lambda u: F.xxhash64(u))
+    """array<array<long>>: for each uniform long and each of the two sign words, a hash of every paragraph with its own seed."""
 
-    def salted(j: int) -> Column:
-        return F.transform(base, lambda h: F.xxhash64(h, F.lit(j)))
+    def seeded(j: int) -> Column:
+        return F.transform(units, lambda u: F.xxhash64(F.lit(j), u))
 
-    return F.array(base, salted(1), salted(2))
+    return F.array(*map(seeded, range(UNIFORM + SIGNS // 32)))
 
 
 def _vector(hashes: Column) -> Column:
-    def total(values: Column, part, fields: int = FIELDS) -> Column:
+    def total(values: Column, part, fields: int) -> Column:
         return F.aggregate(values, _long(0), lambda a, h: (a + part(h)).bitwiseAND(_long(fields)))
 
-    base = hashes[0]
-    uniform = [total(base, lambda h, j=j: F.xxhash64(h, F.lit(100 + j)).bitwiseAND(_long(FIELDS))) for j in range(UNIFORM)]
-    signs = [total(hashes[1 + k // 32], lambda h, k=k: F.shiftrightunsigned(h, k % 32).bitwiseAND(_long(WIDE_LOW_BITS)), WIDE_FIELDS) for k in range(SIGNS)]
-    return F.array(F.size(base).cast("long").bitwiseAND(_long(WIDE_FIELDS)), *uniform, *signs)
+    uniform = [total(hashes[j], lambda h: h.bitwiseAND(_long(FIELDS)), FIELDS) for j in range(UNIFORM)]
+    signs = [total(hashes[UNIFORM + k // 32], lambda h, k=k: F.shiftrightunsigned(h, k % 32).bitwiseAND(_long(WIDE_LOW_BITS)), WIDE_FIELDS) for k in range(SIGNS)]
+    return F.array(F.size(hashes[0]).cast("long").bitwiseAND(_long(WIDE_FIELDS)), *uniform, *signs)
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -124,20 +122,24 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", doc_id: str = "do
     A null text counts as empty. The edited text has its last floor(n_chars / 3) code points replaced by
     as many first ones of the next document, by descending doc_id; after the last comes the first. Rows
     that repeat a doc_id follow each other by text. A row without a doc_id has no next document: an
-    empty text stands for it. Two texts without paragraphs have likeness 1. Other columns are ignored.
+    empty text stands for it. Two texts without paragraphs have likeness 1. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     marked = with_fingerprint(rows, "t", "fp")
-    some = rows.filter("doc_id is not null").withColumn("b", F.shiftright("doc_id", BUCKET_BITS))
-    # The first row of every bucket (one in 2^BUCKET_BITS ids at most) follows the last row of the bucket above it.
+    ids = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("doc_id").alias("n")).first()
+    # Buckets of about 2^BUCKET_BITS rows each, however far the ids lie apart.
+    spread = 0 if ids.a is None else (ids.z - ids.a + 1) // ids.n
+    shift = min(62, BUCKET_BITS + max(0, spread.bit_length() - 1))
+    some = rows.filter("doc_id is not null").withColumn("b", F.shiftright("doc_id", shift))
+    # The first row of every bucket follows the last row of the bucket above it.
     first = some.groupBy("b").agg(F.min_by("t", F.struct(F.bitwise_not("doc_id").alias("i"), F.col("t").alias("t"))).alias("ht"))
     heads = cut(with_fingerprint(first, "ht", "hfp"))
-    ends = heads.agg(F.min("b").alias("a"), F.max("b").alias("z")).first()
-    lower = following(heads.select(F.col("b").alias("k")), 0 if ends.a is None else ends.z - ends.a + 1)
+    highest = None if ids.a is None else ids.z >> shift
+    lower = following(heads.select(F.col("b").alias("k")), 0 if ids.a is None else highest - (ids.a >> shift) + 1)
     # After the smallest bucket comes the largest.
-    nexts = lower.select(F.col("k").alias("b"), F.coalesce("below", F.lit(ends.z)).alias("below")).join(heads.withColumnRenamed("b", "below"), "below").select("b", "ht", "hfp")
+    nexts = lower.select(F.col("k").alias("b"), F.coalesce("below", F.lit(highest)).alias("below")).join(heads.withColumnRenamed("b", "below"), "below").select("b", "ht", "hfp")
     order = Window.partitionBy("b").orderBy(F.desc("doc_id"), "t")
-    inside = marked.filter("doc_id is not null").withColumn("b", F.shiftright("doc_id", BUCKET_BITS))
+    inside = marked.filter("doc_id is not null").withColumn("b", F.shiftright("doc_id", shift))
     inside = inside.select("b", "doc_id", "t", "fp", F.lead("t").over(order).alias("nt"), F.lead("fp").over(order).alias("nfp"))
     linked = inside.join(nexts, "b").select("doc_id", "t", "fp", F.coalesce("nt", "ht").alias("nt"), F.coalesce("nfp", "hfp").alias("nfp"))
     lost = with_fingerprint(marked.filter("doc_id is null").select("doc_id", "t", "fp", F.lit("").alias("nt")), "nt", "nfp")
