@@ -3,8 +3,9 @@
 Every vector is scaled to length 1, turned by one random rotation and reduced to the signs of its
 coordinates (packed bits) and a correction scalar. Queries are quantised to four bits a coordinate,
 so that population counts of four bit planes estimate inner products without bias; the scalar and
-the dimension bound the error. Only vectors whose upper bound reaches the k-th best lower bound
-are compared exactly.
+the dimension bound the error. Blocks of codes give each query the vectors whose upper bound reaches
+the k-th best lower bound; only codes travel there. Of these, the ones that reach the k-th best lower bound
+of all blocks are fetched and compared exactly.
 """
 
 from __future__ import annotations
@@ -65,10 +66,9 @@ def estimate(queries: np.ndarray, codes: np.ndarray, scalars: np.ndarray, spread
     return inner, spread * noise
 
 
-def search_block(query_ids, queries, ids, vectors, codes, scalars, k: int, spread: float):
-    """(query ids, ids, cosines) of each query's best k of the block: largest cosine, ties to the smaller id."""
-    norms = np.sqrt((vectors * vectors).sum(1))
-    out_q, out_i, out_s = [], [], []
+def search_block(query_ids, queries, ids, codes, scalars, k: int, spread: float):
+    """(query ids, ids, lower bounds, upper bounds) of the block's vectors that may be among a query's best k."""
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
     rows = max(1, 4_000_000 // max(1, len(ids)))
     for a in range(0, len(queries), rows):
         inner, bound = estimate(queries[a : a + rows], codes, scalars, spread)
@@ -79,13 +79,21 @@ def search_block(query_ids, queries, ids, vectors, codes, scalars, k: int, sprea
                 continue
             least = np.partition(lower[j][other], max(0, n - k))[max(0, n - k)]
             near = np.flatnonzero(other & (upper[j] >= least))
-            q = queries[a + j]
-            cosine = (vectors[near] * q).sum(1) / (norms[near] * np.sqrt((q * q).sum()))
-            best = np.lexsort((ids[near], -cosine))[:k]
-            out_q += [query_ids[a + j]] * len(best)
-            out_i += ids[near[best]].tolist()
-            out_s += cosine[best].tolist()
-    return out_q, out_i, out_s
+            for x, y in zip(out, (np.full(near.size, query_ids[a + j]), ids[near], lower[j][near], upper[j][near])):
+                x.append(y)
+    return [np.concatenate(x) for x in out]
+
+
+def _cosines(batches):
+    """(query_id, vec_id, query, vec) -> (query_id, vec_id, score): in double precision."""
+    for b in batches:
+        score = np.zeros(b.num_rows)
+        sizes = np.array([len(x) for x in b.column(2).to_pylist()])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            q, v = (_matrix(b.column(i).take(pa.array(at)), int(size) // 8, "<f8") for i in (2, 3))
+            score[at] = (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum(1)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def _matrix(column, dim: int, kind: str) -> np.ndarray:
@@ -98,9 +106,9 @@ def _index(batches):
         for vec_id, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if v and None not in v:
                 x = np.array(v, np.float64)
-                with np.errstate(over="ignore"):
-                    if np.isfinite(x).all() and 0 < (x * x).sum() < np.inf:
-                        kept.append((vec_id, x))
+                if np.isfinite(x).all() and x.any():
+                    # A power of two takes no digit away, and squares neither overflow nor vanish.
+                    kept.append((vec_id, np.ldexp(x, -np.frexp(np.abs(x).max())[1])))
         found: dict[int, list] = {}
         for vec_id, x in kept:
             found.setdefault(len(x), []).append((vec_id, x))
@@ -115,7 +123,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, spread: float = 3.0
     others (all, if fewer) by cosine in double precision on the original vectors, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-    rows without an id; of rows that repeat an id, the smallest array counts. Vectors of different
+    rows without an id; an empty table gives no rows; of rows that repeat an id, the smallest array counts. Vectors of different
     length are never compared. Other columns are ignored. `spread` times the standard error bounds
     the estimates: at 3, about one in a thousand true neighbours may be missed.
     Every row is indexed; queries meet rows in blocks of bounded size, dealt by hash.
@@ -130,22 +138,24 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, spread: float = 3.0
     query_blocks = max(-(-size.q // QUERY_ROWS), 1)
     queries = index.filter(F.col("vec_id") % every == 0).select("dim", F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).alias("qb"))
     queries = queries.withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    data = index.withColumn("db", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    data = index.drop("vec").withColumn("db", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
 
     def block(q: pa.Table, d: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found = [[], [], [], []]
         if q.num_rows and d.num_rows:
             dim = q.column("dim")[0].as_py()
-            found = search_block(
-                q.column("query_id").to_numpy(), _matrix(q.column("query"), dim, "<f8"), d.column("vec_id").to_numpy(), _matrix(d.column("vec"), dim, "<f8"),
-                _matrix(d.column("code"), -(-dim // 64), "<u8"), d.column("scalar").to_numpy(), k, spread,
-            )
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+            found = search_block(q.column("query_id").to_numpy(), _matrix(q.column("query"), dim, "<f8"), d.column("vec_id").to_numpy(), _matrix(d.column("code"), -(-dim // 64), "<u8"), d.column("scalar").to_numpy(), k, spread)
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "lower", "upper"), found, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
 
     keys = ("dim", "qb", "db")
-    hits = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(block, "query_id long, vec_id long, score double")
+    hits = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(block, "query_id long, vec_id long, lower double, upper double")
+    every_hit = Window.partitionBy("query_id").orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hits = hits.withColumn("least", F.nth_value("lower", k).over(every_hit)).filter("least is null or upper >= least").select("query_id", "vec_id")
+    vectors = index.select("vec_id", "vec")
+    pairs = hits.join(vectors, "vec_id").join(vectors.toDF("query_id", "query"), "query_id").select("query_id", "vec_id", "query", "vec")
+    scored = pairs.mapInArrow(_cosines, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_one_bit_codes(spark, sf_dir: str) -> DataFrame:
