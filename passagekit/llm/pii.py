@@ -5,7 +5,8 @@ the words around it; thresholds on calibrated chances select what is redacted. S
 base patterns are always selected, so the model can add spans but never lose one.
 
 The model learns from synthetic candidates made here (fixed seed), not from the corpus, which has no
-labels for personal data: half of them fit the trees, half calibrate them.
+labels for personal data: half of them fit the trees, a quarter calibrates their scores, and on the last
+quarter the thresholds are chosen.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -180,25 +182,46 @@ def _synthetic(rng: random.Random):
     return hit and (text, *hit, good)
 
 
+def threshold(chance: np.ndarray, true: np.ndarray, precision: float) -> float:
+    """The lowest chance c such that of the examples with a chance of at least c, one more false one counted, a share of
+    `precision` is true; more than 1 (nothing is selected) if there is none."""
+    order = np.argsort(-chance, kind="stable")
+    last = np.append(np.diff(chance[order]) != 0, True) if len(order) else np.zeros(0, bool)
+    share = np.cumsum(true[order]) / (np.arange(1, len(order) + 1) + 1)
+    good = np.flatnonzero(last & (share >= precision))
+    return float(chance[order][good[-1]]) if good.size else 1.1
+
+
 @functools.lru_cache(1)
-def model(examples: int = 6000, seed: int = 11, precision: float = 0.98) -> tuple[BoostedTrees, dict[str, tuple[float, float, float]]]:
-    """(trees, kind -> (a, b, threshold)): the threshold is the lowest calibrated chance above which held-out examples reach `precision`."""
+def model(examples: int = 12000, seed: int = 11, precision: float = 0.98) -> tuple[BoostedTrees, dict[str, tuple[float, float, float]]]:
+    """(trees, kind -> (a, b, threshold)): trees from half of the examples, chances from a quarter, thresholds that reach
+    `precision` from the rest."""
     rng = random.Random(seed)
     made = [x for x in (_synthetic(rng) for _ in range(examples)) if x]
     x, y = np.array([features(*e[:4]) for e in made], float), np.array([e[4] for e in made], float)
-    half = len(y) // 2
+    half, most = len(y) // 2, 3 * len(y) // 4
     trees = BoostedTrees().fit(x[:half], y[:half])
-    held, kinds, cuts = trees.score(x[half:]), x[half:, 0], {}
+    scores, cuts = trees.score(x), {}
     for k, kind in enumerate(KINDS):
-        s, t = held[kinds == k], y[half:][kinds == k]
-        a, b = calibrate(s, t)
-        p = 1 / (1 + np.exp(-(a * s + b)))
-        order = np.argsort(-p, kind="stable")
-        good = np.cumsum(t[order]) / np.arange(1, len(order) + 1) >= precision
-        cuts[kind] = (a, b, max(0.9, float(p[order][np.flatnonzero(good)[-1]]) if good.any() else 1.1))
+        mine = x[:, 0] == k
+        fit, choose = mine.copy(), mine.copy()
+        fit[:half], fit[most:], choose[:most] = False, False, False
+        a, b = calibrate(scores[fit], y[fit])
+        cuts[kind] = (a, b, threshold(1 / (1 + np.exp(-(a * scores[choose] + b))), y[choose], precision))
     return trees, cuts
 
 
+def _united(spans) -> list[tuple[int, int]]:
+    """Spans by start, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_spans(text: str, fitted) -> tuple[list, list]:
     """(base spans, all spans), each by kind and start. A span that the model adds overlaps no other."""
     base = base_spans(text)
@@ -212,10 +235,11 @@ def find_spans(text: str, fitted) -> tuple[list, list]:
         a, b, least = cuts[c[0]]
         if (p := 1 / (1 + np.exp(-(a * s + b)))) >= least:
             ranked.append((-p, c[1], -c[2], c))
-    taken, added = sorted((a, b) for _, a, b in base), []
+    taken, added = _united((a, b) for _, a, b in base), []
     for *_, c in sorted(ranked):
-        if not any(c[1] < e and s < c[2] for s, e in taken):
-            taken.append(c[1:])
+        at = bisect_left(taken, c[2], key=lambda s: s[0])  # spans before `at` begin before c ends
+        if not at or taken[at - 1][1] <= c[1]:
+            taken.insert(at, c[1:])
             added.append(c)
     return base, sorted(base + added, key=lambda c: (KINDS.index(c[0]), c[1], c[2]))
 
@@ -239,7 +263,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     Whole texts are searched; a null text counts as empty (no spans). Counts and
     base_sha256 are of the base spans; spans also has what the model adds. Positions are code points.
-    Null and repeated doc_ids come back as they are; other columns are ignored.
+    Null and repeated doc_ids come back as they are; an empty table gives no rows; other columns are ignored.
     """
     ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model())
