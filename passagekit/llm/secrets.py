@@ -3,8 +3,8 @@
 Besides the strict base patterns, every long run of key characters is a candidate. Its encoding is
 inferred from its characters (hexadecimal, base 32 or base 64), and three tests compare its symbols
 with uniform noise over that alphabet: chi-squared frequencies, runs above and below the middle, and
-correlation of neighbours. A candidate that a test rejects as noise is dropped. For the rest, a model of
-readable text (changes between small letters, capitals, digits and separators, and letter pairs of English)
+correlation of neighbours. Fisher's method combines their p-values, and a candidate that the three together reject as
+noise (one in a thousand of true noise) is dropped. For the rest, a model of readable text (changes between small letters, capitals, digits and separators, and letter pairs of English)
 gives the ratio of its probability to that of noise. Readable text has a ratio under r with a chance of at
 most r, so the ratio is the p-value, and the Benjamini-Hochberg rule, within each encoding and length band,
 bounds the share of false finds as far as the model holds.
@@ -46,6 +46,10 @@ LETTER_PAIRS = (
     "ooonkqrslssmkiqlsfijssssspissscsqsgsssqsmsssrssssssslsssjssifssrsjhssmjsssqssslsmskqsplssssssfsrsdsssrss"
     "snrslqrsqssogjlhsqhhsspssoprrrerrrorrrrrprrrrrorrrff"
 )
+#: A published Chebyshev fit of the complementary error function.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+#: Candidates whose combined p-value as noise is less are no noise.
+LEAST_NOISE = 0.001
 BINS = 400
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,ok:boolean,body:string>>"
 
@@ -90,6 +94,37 @@ def _by_encoding(encoding: Column, values) -> Column:
     return out
 
 
+def _let(x: Column, body) -> Column:
+    """body(x), with x computed once."""
+    return F.transform(F.array(x), body)[0]
+
+
+def _two_tails(z: Column) -> Column:
+    """Chance that a normal value lies at least as far from 0; to a relative error of 2e-7, and at least 1e-300."""
+
+    def tail(x: Column) -> Column:
+        def erfc(t: Column) -> Column:
+            power = F.lit(0.0)
+            for k in reversed(ERFC):
+                power = power * t + k
+            return t * F.exp(power - x * x)
+
+        return F.greatest(F.least(_let(1 / (1 + x / 2), erfc), F.lit(1.0)), F.lit(1e-300))
+
+    return _let(F.least(F.abs(z), F.lit(37.0)) / math.sqrt(2), tail)
+
+
+def _upper_tail(z: Column) -> Column:
+    return _let(_two_tails(z) / 2, lambda p: F.when(z >= 0, p).otherwise(1 - p))
+
+
+def _noise(z: Column) -> Column:
+    """Whether three z-values together may be noise: under it, -2 times the sum of the logarithms of their p-values is
+    chi-squared with 6 degrees of freedom."""
+    half = -(F.log(_upper_tail(z["chi"])) + F.log(_two_tails(z["runs"])) + F.log(_two_tails(z["serial"])))
+    return _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2) >= LEAST_NOISE)
+
+
 def _tested(c: Column) -> Column:
     """The tests of one candidate with an encoding."""
     n = F.char_length(c["body"]).cast("double")
@@ -113,7 +148,7 @@ def _tested(c: Column) -> Column:
     spread = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - centre) * (v - centre))
     pairs = F.zip_with(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), lambda x, y: (x - centre) * (y - centre))
     serial_z = F.coalesce((F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v) / F.nullif(spread, F.lit(0.0)) + 1 / n) * F.sqrt(n), F.lit(99.0))
-    noise = (chi_z <= 3.3) & (F.abs(runs_z) <= 3.3) & (F.abs(serial_z) <= 3.3)
+    noise = _let(F.struct(chi_z.alias("chi"), runs_z.alias("runs"), serial_z.alias("serial")), _noise)
     # -ln of the probability of each symbol in readable text, given the one before it.
     kind, letter = _classes(c["body"])
     before_kind, before_letter = F.concat(F.lit("3"), kind), F.concat(F.lit("-"), letter)
@@ -154,7 +189,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, text: str = "text", doc_id
     Whole texts are searched; a null text counts as empty. Counts and base_sha256 are of the base spans;
     spans also has the candidates that pass the tests at false-discovery rate `rate` and overlap no base
     span, as kind `random`. Positions are code points, end exclusive. Runs of digits alone are no
-    candidates. Null and repeated doc_ids come back as they are; other columns are ignored.
+    candidates. Null and repeated doc_ids come back as they are; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     found = rows.select("doc_id", _spans(F.col("t"), ASSIGN, 0, 1, 8).alias("assign"), _spans(F.col("t"), ACCESS, 1).alias("access"), _spans(F.col("t"), HEX, 2).alias("hex"), _spans(F.col("t"), CANDIDATE, 3).alias("runs"))
