@@ -2,12 +2,16 @@
 
 Only the histogram of piece lengths (at most `capacity` bins, whatever the corpus) is planned on
 the driver: few-document patterns that fill a sequence are enumerated, non-negative least squares
-fits how often each is repeated, the repeats are rounded down, and the residual histogram is
+fits how often each is repeated to the whole histogram, the repeats are rounded down, and the residual histogram is
 packed best-fit, many equal sequences at a time. Pieces get their places by rank within a length.
+
+Pairs and triples are enumerated outright; of the many patterns of up to `MOST` documents those are added that a pursuit
+meets: again and again the fullest pattern of the commonest lengths left over, found by dynamic programming.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_right
 
@@ -20,19 +24,65 @@ from passagekit.llm.bpe import Vocabulary, load_vocabulary, texts_of
 from passagekit.runtime import cut, ship_code, table
 
 
-def enumerate_patterns(hist: dict[int, int], capacity: int, thirds: int = 12) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths that fill a sequence exactly: every pair; triples and
-    quadruples around the `thirds` commonest lengths."""
+#: The most documents in a pattern, and the most patterns that the pursuit adds.
+MOST, PURSUED = 4, 1000
+
+
+def enumerate_patterns(hist: dict[int, int], capacity: int, rows: int = 4096) -> list[tuple[int, ...]]:
+    """Patterns of two to MOST lengths that fill a sequence exactly: every pair, the `rows` triples of the commonest
+    lengths, and what the pursuit finds."""
     have = sorted(hist)
-    common = sorted(hist, key=lambda x: (-hist[x], x))[:thirds]
     found = {(a, capacity - a) for a in have if a <= capacity - a and capacity - a in hist}
-    for c in common:
-        rest = capacity - c
-        found |= {tuple(sorted((c, a, rest - a))) for a in have if a <= rest - a and rest - a in hist}
-        for d in common[: thirds // 2]:
-            left = rest - d
-            found |= {tuple(sorted((c, d, a, left - a))) for a in have if 0 < a <= left - a and left - a in hist}
-    return sorted(found)
+    n = np.zeros(capacity + 1)
+    n[have] = [hist[x] for x in have]
+    triples = []
+    for a in have:
+        b = np.array([x for x in have if a <= x <= (capacity - a) // 2], np.int64)
+        if b.size:
+            least = np.minimum(np.minimum(n[a], n[b]), n[capacity - a - b])
+            triples += [(-m, a, int(x), capacity - a - int(x)) for m, x in zip(least.tolist(), b.tolist()) if m > 0]
+    found |= {t[1:] for t in heapq.nsmallest(rows, triples)}
+    return sorted(found | set(pursued(hist, capacity)))
+
+
+def pursued(hist: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
+    """Patterns that fill a sequence exactly with at most MOST documents, one after the other: that of the greatest sum
+    of counts still left, as often as its lengths last. Every one uses up a length."""
+    left = np.zeros(capacity + 1)
+    for n, c in hist.items():
+        left[n] = c
+    # turned[c, a]: c - a, or one beyond the last length where that is less than nothing.
+    turned = np.arange(capacity + 1)[:, None] - np.arange(capacity + 1)
+    turned[turned < 0] = capacity + 1
+    padded = lambda x: np.append(x, -np.inf)
+    out = []
+    while len(out) < PURSUED:
+        have = np.flatnonzero(left)
+        if not have.size:
+            break
+        one = np.where(left > 0, left, -np.inf)
+        # two[c]: the greatest sum of counts of two lengths that make c; three and four follow from it.
+        value = padded(one)[turned[:, have]] + one[have]
+        last = have[value.argmax(axis=1)]
+        two = value.max(axis=1)
+        sums = one[::-1] + one, two[::-1] + one, two[::-1] + two
+        k = max(range(3), key=lambda i: sums[i].max())
+        c = int(sums[k].argmax())
+        if not np.isfinite(sums[k][c]):
+            break
+        halves = [c, capacity - c]
+        pattern = []
+        for half, pair in zip(halves, ((False, False), (False, True), (True, True))[k]):
+            pattern += [int(last[half]), half - int(last[half])] if pair else [half]
+        lengths, times = np.unique(pattern, return_counts=True)
+        repeats = (left[lengths] // times).min()
+        if repeats < 1:  # a length is left less often than the pattern holds it
+            left[lengths[(left[lengths] // times).argmin()]] = 0
+            continue
+        left[lengths] -= repeats * times
+        if len(pattern) > 1:
+            out.append(tuple(sorted(pattern)))
+    return out
 
 
 def fit_repeats(patterns: list[tuple[int, ...]], hist: dict[int, int], sweeps: int = 40) -> list[float]:
@@ -86,23 +136,23 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
 
 
 def plan(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use every piece of the histogram exactly once. The plan by fitted
-    patterns is kept unless best fit alone needs fewer sequences."""
+    """(pattern, repeats) that use every piece of the histogram exactly once. Of plans that place all, three quarters,
+    a half, a quarter and none of the fitted repeats, the first that needs the fewest sequences."""
     left = {n: c for n, c in hist.items() if c > 0}
-    fitted = []
-    if whole := left.pop(capacity, 0):
-        fitted.append(((capacity,), whole))
+    whole = left.pop(capacity, 0)
     patterns = enumerate_patterns(left, capacity) if left else []
     order = sorted(zip(fit_repeats(patterns, left), patterns), key=lambda x: (-x[0], x[1]))
-    for times, p in order:
-        times = min([int(times), *(left[n] // p.count(n) for n in set(p))])
-        if times > 0:
-            fitted.append((p, times))
-            for n in p:
-                left[n] -= times
-    fitted += best_fit(left, capacity)
-    plain = best_fit(hist, capacity)
-    return min((fitted, plain), key=lambda x: sum(t for _, t in x))
+    plans = []
+    for share in (1.0, 0.75, 0.5, 0.25, 0.0):
+        rest, fitted = dict(left), [((capacity,), whole)] if whole else []
+        for times, p in order:
+            times = min([int(times * share), *(rest[n] // p.count(n) for n in set(p))])
+            if times > 0:
+                fitted.append((p, times))
+                for n in p:
+                    rest[n] -= times
+        plans.append(fitted + best_fit(rest, capacity))
+    return min(plans, key=lambda x: sum(t for _, t in x))
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
