@@ -17,6 +17,8 @@ from passagekit.runtime import cut, ship_code, table
 
 SEED = 42
 CHUNK = 1 << 16
+#: Classes of documents are gathered in parts of so many shingles' bytes, times their tile.
+UNIT_BYTES = 1 << 15
 
 
 def shingle_hashes(words: list[bytes], size: int):
@@ -198,32 +200,41 @@ def simhash_components(docs: DataFrame, size: int = 4, distance: int = 4, blocks
     return marked.join(classes.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _simhash(h: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for a in range(0, h.size, CHUNK):
+        counts += np.unpackbits(h[a : a + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > h.size, bitorder="little").tobytes(), "little")
+
+
 def _marks(size: int, keys: int, minima: int):
-    """(doc_id, h, keys) of each document: h tells word sequences apart; keys are MinHash keys of its shingles, none of a blank text."""
+    """(doc_id, h, fp, units, keys) of each document: h tells word sequences apart; fp is the SimHash of its shingles, units
+    their size in UNIT_BYTES, and keys are their MinHash keys, none of a blank text."""
 
-    def made(ids, h, sets):
+    def made(ids, h, fps, sets):
         some = np.flatnonzero([x.size for x in sets])
         n = np.zeros(len(sets) + 1, np.int32)
         n[some + 1] = keys
         sizes = np.array([sets[i].size for i in some], np.int64)
         flat = min_keys(np.concatenate([sets[i] for i in some]), np.cumsum(sizes) - sizes, keys, minima).T.ravel() if some.size else np.zeros(0, np.uint64)
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(n).astype(np.int32)), pa.array(flat.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), lists], ["doc_id", "h", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([1 + x.nbytes // UNIT_BYTES for x in sets], pa.int32()), lists], ["doc_id", "h", "fp", "units", "keys"])
 
     def run(batches):
         for b in batches:
-            ids, hs, sets, held = [], [], [], 0
+            ids, hs, fps, sets, held = [], [], [], [], 0
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = (t or b"").lower().split()
                 ids.append(doc_id)
                 hs.append(xxhash.xxh64_intdigest(b" ".join(words), 3))
                 sets.append(np.fromiter(shingle_hashes(words, size), np.uint64))
+                fps.append(_simhash(sets[-1]))
                 held += sets[-1].size
                 if held > CHUNK:
-                    yield made(ids, hs, sets)
-                    ids, hs, sets, held = [], [], [], 0
+                    yield made(ids, hs, fps, sets)
+                    ids, hs, fps, sets, held = [], [], [], [], 0
             if ids:
-                yield made(ids, hs, sets)
+                yield made(ids, hs, fps, sets)
 
     return run
 
@@ -295,22 +306,32 @@ def _alike(least: float):
     return run
 
 
-def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, keys: int = 20, minima: int = 4, tile: int = 256) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 4, blocks: int | None = None, keys: int = 20, minima: int = 4, tile: int = 256) -> DataFrame:
     """The rows of docs that stay: one for each near-duplicate class, that of the smallest doc_id (of
-    rows that repeat an id, one). Rows with a null doc_id all stay, as nothing tells them apart.
+    rows that repeat an id, the first by text). Rows with a null doc_id all stay, as nothing tells them apart;
+    an empty table stays empty.
 
     Documents link when they have the same words, or when the Jaccard similarity of their shingles of `size` words is
-    at least `similarity`. Candidates share one of `keys` MinHash keys of `minima` smallest hashes: a pair of similarity
-    s is missed with a chance of (1 - s^minima)^keys, 3 in 100,000 at 0.8. Blank and null texts are one class."""
+    at least `similarity`. Candidates are all pairs whose SimHash fingerprints differ in at most `distance` bits, found by
+    pigeonhole blocks, and, as a similarity of 0.8 moves about ten bits, also pairs that share one of `keys` MinHash
+    keys of `minima` smallest hashes: a pair of similarity s is missed with a chance of at most (1 - s^minima)^keys, 3 in
+    100,000 at 0.8. Blank and null texts are one class."""
     spark = docs.sparkSession
     ship_code(spark)
     narrow = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    marked = narrow.mapInArrow(_marks(size, keys, minima), "doc_id long, h long, keys array<long>")
-    unique = cut(marked.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    marked = narrow.mapInArrow(_marks(size, keys, minima), "doc_id long, h long, fp long, units int, keys array<long>")
+    unique = cut(marked.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("units").alias("units"), F.first("keys").alias("keys")))
     dealt = unique.select(F.explode("keys").alias("key"), "h").repartition(F.xxhash64("key")).sortWithinPartitions("key", "h")
-    classes = connected_components(dealt.mapInArrow(_key_stars, "a long, b long")).toDF("h", "class")
-    placed = unique.select("h", "rep").join(classes, "h")
-    several = placed.groupBy("class").agg(F.count("*").alias("cnt")).filter("cnt > 1")
+    # Documents of one fingerprint hang on the first of them, and the first ones of close fingerprints on each other.
+    heads = cut(unique.groupBy("fp").agg(F.min("h").alias("head"), F.count("*").alias("n")))
+    equal = unique.select("h", "fp").join(heads.filter("n > 1"), "fp").select(F.col("head").alias("a"), F.col("h").alias("b"))
+    near = near_links(heads.select("fp"), distance, blocks or blocks_for(heads.count(), distance))
+    ends = heads.select("fp", "head")
+    near = near.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    candidates = dealt.mapInArrow(_key_stars, "a long, b long").union(equal).union(near)
+    classes = connected_components(candidates).toDF("h", "class")
+    placed = unique.select("h", "units").join(classes, "h")
+    several = placed.groupBy("class").agg(F.sum("units").alias("cnt"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut(placed.join(several, "class").select("h", "class", "cnt"))
     sets = narrow.select("t").mapInArrow(_shingle_sets(bitmap(members.select("h")), size), "h long, shingles binary").dropDuplicates(["h"])
     dealt = tiled(members.join(sets, "h"), "class", tile, "h")
@@ -319,7 +340,7 @@ def near_dedup(docs: DataFrame, size: int = 5, similarity: float = 0.8, keys: in
     rooted = unique.select("h", "rep").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("g", F.coalesce("root", "h"))
     kept = rooted.groupBy("g").agg(F.min("rep").alias("kept")).select("kept")
     rows = packed(docs).withColumn("key", F.col("row.doc_id").cast("long"))
-    first = rows.join(kept, rows["key"] == kept["kept"]).dropDuplicates(["key"]).select("row")
+    first = rows.join(kept, rows["key"] == kept["kept"]).groupBy("key").agg(F.min_by("row", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("row")).select("row")
     return first.unionByName(rows.filter("key is null").select("row")).select("row.*")
 
 
