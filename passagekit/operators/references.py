@@ -7,6 +7,7 @@ Arrow-batched function. Dictionary and fuzzy matching are joins on a broadcast n
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -60,19 +61,35 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 NUMBER_WORDS = {w: i for i, w in enumerate(UNITS)} | {w: 20 + 10 * i for i, w in enumerate(TENS)}
 
 
+#: Other names and short forms of each book, in the order of BOOKS; those of a numbered book, without its number, stand once.
+SHORT_FORMS = {
+    "Genesis": "Gen, Ge, Gn", "Exodus": "Exod, Exo, Ex", "Leviticus": "Lev, Le, Lv", "Numbers": "Num, Nu, Nm, Nb", "Deuteronomy": "Deut, De, Dt",
+    "Joshua": "Josh, Jos, Jsh", "Judges": "Judg, Jdg, Jg, Jdgs", "Ruth": "Rth, Ru", "Samuel": "Sam, Sa", "Kings": "Kgs, Ki", "Chronicles": "Chr, Ch",
+    "Ezra": "Ezr", "Nehemiah": "Neh, Ne", "Esther": "Esth, Est, Es", "Job": "Jb", "Psalms": "Ps, Psalm, Psa, Psm, Pss",
+    "Proverbs": "Prov, Pro, Prv, Pr", "Ecclesiastes": "Eccl, Ecc, Ec, Qoh", "Song of Solomon": "Song, Song of Songs, SOS, Cant", "Isaiah": "Isa, Is",
+    "Jeremiah": "Jer, Je, Jr", "Lamentations": "Lam, La", "Ezekiel": "Ezek, Eze, Ezk", "Daniel": "Dan, Da, Dn", "Hosea": "Hos, Ho", "Joel": "Jl",
+    "Obadiah": "Obad, Ob", "Jonah": "Jnh, Jon", "Micah": "Mic, Mc", "Nahum": "Nah, Na", "Habakkuk": "Hab, Hb", "Zephaniah": "Zeph, Zep, Zp",
+    "Haggai": "Hag, Hg", "Zechariah": "Zech, Zec, Zc", "Malachi": "Mal, Ml", "Matthew": "Matt, Mat, Mt", "Mark": "Mrk, Mk, Mr", "Luke": "Luk, Lk",
+    "John": "Joh, Jhn, Jn", "Acts": "Act, Ac", "Romans": "Rom, Ro, Rm", "Corinthians": "Cor, Co", "Galatians": "Gal, Ga", "Ephesians": "Eph, Ephes",
+    "Philippians": "Phil, Php, Pp", "Colossians": "Col, Co", "Thessalonians": "Thess, Th", "Timothy": "Tim, Ti", "Titus": "Tit, Ti",
+    "Philemon": "Phlm, Phm, Philem", "Hebrews": "Heb", "James": "Jas, Jm", "Peter": "Pet, Pe", "Jude": "Jud, Jd", "Revelation": "Rev, Re, Rv, Apocalypse",
+}
+#: Short forms of the numbered books of a name that also stands alone.
+NUMBERED_SHORT_FORMS = {"John": "John, Jn"}
+ORDINALS = {"1": ("First", "1st", "I"), "2": ("Second", "2nd", "II"), "3": ("Third", "3rd", "III")}
+
+
 def names() -> list[tuple[str, int]]:
-    """(lower-case phrase, book number): the name, its first three and four letters, and ordinal forms of numbered books."""
+    """(lower-case phrase, book number): every name; a short form alone, or after the number of its book with and without
+    a blank; and the name of a numbered book after an ordinal."""
     out: dict[str, int] = {}
-    spoken = {"1": ("1", "first", "1st", "i"), "2": ("2", "second", "2nd", "ii"), "3": ("3", "third", "3rd", "iii")}
     for i, name in enumerate(BOOKS, 1):
-        lead, _, rest = name.partition(" ") if name[0].isdigit() else ("", "", name)
-        stems = [rest.lower()] + [rest[:n].lower() for n in (4, 3) if len(rest) > 4 and " " not in rest]
-        for stem in stems:
-            for form in [f"{o} {stem}" for o in spoken[lead]] if lead else [stem]:
-                out.setdefault(form, i)
-    # Everyday words are no abbreviations.
-    for word in ("song", "act", "acts of", "mar", "job of", "eve", "son", "rut", "amo", "jon", "mic", "dan", "lam", "mark of", "tit", "rev", "num", "pro", "gala", "rom", "heb", "jam", "jame"):
-        out.pop(word, None)
+        number, _, rest = name.partition(" ") if name[0].isdigit() else ("", "", name)
+        short = (number and NUMBERED_SHORT_FORMS.get(rest) or SHORT_FORMS.get(rest, "")).split(", ")
+        forms = [f"{number}{gap}{x}" for x in short for gap in (" ", "")] + [f"{o} {rest}" for o in ORDINALS[number]] if number else short
+        for form in [name, *forms]:
+            if form:
+                out.setdefault(form.lower(), i)
     return sorted(out.items())
 
 
@@ -86,6 +103,25 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i:\blook at)\s+(?=\p{Lu})", ""), r"\s+", " "))
 
 
+def _phrase(phrase: str) -> re.Pattern:
+    return re.compile(rf"(?<![^\W_]){re.escape(phrase)}(?![^\W_])", re.IGNORECASE | re.ASCII if phrase.isascii() else re.IGNORECASE)
+
+
+_REPLACED = [(a, _phrase(a), b) for a, b in [*CORRECTIONS, *((f, "") for f in FILLERS)]]
+
+
+def clean_text(text: str) -> str:
+    """clean() of one string: what both the batch detector and the streaming one read."""
+    low = text.lower()
+    for phrase, pattern, new in _REPLACED:
+        if phrase in low:
+            text = pattern.sub(new, text)
+            low = text.lower()
+    if "look at" in low:
+        text = re.sub(r"(?i:look at)(?=\s*[A-Z])", "", text)
+    return re.sub(" +", " ", text).strip()
+
+
 def is_valid(book: Column, chapter: Column) -> Column:
     """Book 1..66 and a chapter that it has. Verses are not checked."""
     return F.coalesce(book.between(1, len(BOOKS)) & chapter.between(1, F.element_at(F.array(*map(F.lit, MAX_CHAPTER)), F.when(book.between(1, len(BOOKS)), book).otherwise(1).cast("int"))), F.lit(False))
@@ -107,8 +143,8 @@ def read(text: str) -> list[Token]:
     out, i = [], 0
     while i < len(words):
         w = words[i]
-        if w.isdecimal():
-            out.append(Token("N", int(w[:9])))
+        if w.isdecimal():  # what is too large for a chapter or verse number is a word
+            out.append(Token("N", int(w)) if len(w.lstrip("0")) <= 9 else Token("w"))
         elif w in NUMBER_WORDS or w == "hundred":
             value, j = (1, i) if w == "hundred" else (NUMBER_WORDS[w], i + 1)
             if value >= 20 and j < len(words) and 1 <= NUMBER_WORDS.get(words[j], 0) <= 9:
@@ -195,25 +231,42 @@ class Matcher:
         known = names()
         self.number = dict(known)
         self.pattern = re.compile(r"(?<![^\W_])(?:" + "|".join(re.escape(p) for p, _ in sorted(known, key=lambda x: (-len(x[0]), x[0]))) + r")(?![^\W_])")
-        self.full = [(b.lower(), i) for i, b in enumerate(BOOKS, 1) if len(b) >= 4]
+        self.full = [(b.lower(), i, 1 if len(b) <= 4 else 2 if len(b) <= 8 else 3) for i, b in enumerate(BOOKS, 1) if len(b) >= 4]
+        self.longest = max(len(b) + most for b, _, most in self.full)
+        self.counts = [Counter(b) for b, _, _ in self.full]
+        self.seen: dict[str, list[tuple[int, int]]] = {}
+
+    def _close(self, piece: str) -> list[tuple[int, int]]:
+        """(edits, book number) of the names that a piece is close to, remembered up to a bound."""
+        got = self.seen.get(piece)
+        if got is None:
+            letters, got = Counter(piece), []
+            for (name, number, most), have in zip(self.full, self.counts):
+                if abs(len(piece) - len(name)) <= most and sum((letters - have).values()) <= most and 0 < (d := _edits(piece, name, most)) <= most:
+                    got.append((d, number))
+            if len(self.seen) >= 200_000:
+                self.seen.clear()
+            self.seen[piece] = got
+        return got
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, book number) in the lower-cased text."""
         return [(m.start(), m.end(), self.number[m[0]]) for m in self.pattern.finditer(text)]
 
+    def named(self, text: str) -> list[tuple[int, int, int]]:
+        return self.find(text) or self.fuzzy(text)
+
     def fuzzy(self, text: str) -> list[tuple[int, int, int]]:
         """Words within 1, 2 or 3 edits of a name (by its length), never equal to it; greedy by start and distance."""
         words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
         found = []
         for i, (start, _) in enumerate(words):
-            for n in range(1, 5):
-                if i + n > len(words):
+            for n in range(1, min(5, len(words) - i + 1)):
+                end = words[i + n - 1][1]
+                if end - start > self.longest:
                     break
-                piece = text[start : words[i + n - 1][1]]
-                for name, number in self.full:
-                    most = 1 if len(name) <= 4 else 2 if len(name) <= 8 else 3
-                    if len(piece) >= 5 and abs(len(piece) - len(name)) <= most and 0 < (d := _edits(piece, name, most)) <= most:
-                        found.append((start, d, -n, words[i + n - 1][1], number))
+                if end - start >= 5:
+                    found += [(start, d, -n, end, number) for d, number in self._close(text[start:end])]
         out, at = [], 0
         for start, _, _, end, number in sorted(found):
             if start >= at:
@@ -238,11 +291,12 @@ def confidence(chapter: int, verse: int, named: bool = True) -> float:
     return 0.88 if not verse else min(1.0, round(0.90 + 0.04 * (chapter > 0) + 0.04 * (verse > 0) + 0.02 * named, 2))
 
 
-def detect(text: str, matcher: Matcher) -> list[dict]:
-    """References in one cleaned fragment, in order. A bare book or chapter gives verse 1, flagged chapter_only."""
+def detect(text: str, matcher: Matcher, named: list[tuple[int, int, int]] | None = None) -> list[dict]:
+    """References in one cleaned fragment, in order. A bare book or chapter gives verse 1, flagged chapter_only.
+    `named`: the names in the lower-cased text, where they are known already."""
     low = text.lower()
     out = []
-    for start, end, book in matcher.find(low) or matcher.fuzzy(low):
+    for start, end, book in matcher.named(low) if named is None else named:
         said = parse_after(low[end:])
         if said and 1 <= said[0] <= MAX_CHAPTER[book - 1]:
             chapter, verse, last = said
@@ -269,10 +323,10 @@ def detect_references(df: DataFrame, keys: list[str], text: str = "text") -> Dat
     def run(batches):
         matcher = Matcher()
         for b in batches:
-            found = [detect(t or "", matcher) for t in b.column(b.num_columns - 1).to_pylist()]
+            found = [detect(clean_text(t or ""), matcher) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(item))], [*b.schema.names[:-1], "found"])
 
-    narrow = df.select(*keys, clean(F.col(text)).alias("_text"))
+    narrow = df.select(*keys, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     return narrow.mapInArrow(run, f"{schema}, found {DETECTION}").select(*keys, F.explode("found").alias("r")).select(*keys, "r.*")
 
@@ -313,15 +367,54 @@ EDITION_WORDS = {
 }
 
 
-def edition_command(text: Column, phrases: list[tuple[str, str]] = ()) -> Column:
-    """The edition a text asks for: by the first listed phrase it contains, else by its first edition word; null without one."""
+#: Spoken names of editions, in the order in which they are looked for; the longer of two that contain each other first.
+EDITION_NAMES = [
+    ("NIV", "new international version, in new international"), ("ESV", "english standard version, in english standard"),
+    ("NASB", "new american standard, in new american"), ("NKJV", "new king james, in new king james"),
+    ("NLT", "new living translation, in new living"), ("KJV", "king james version, king james, in king james"),
+    ("AMP", "amplified bible, amplified version, amplified translation, in amplified version, in amplified translation"),
+    ("SpaRV", "in reina valera, in spanish, spanish version, spanish translation"), ("FreJND", "in french, french version, french translation, darby french"),
+    ("PorBLivre", "in portuguese, portuguese version, portuguese translation, biblia livre"),
+    ("MSG", "in the message, message version, message translation, message bible"),
+    ("HCSB", "holman christian standard, holman christian, in holman christian"), ("CSB", "christian standard bible, christian standard, in christian standard"),
+    ("NRSV", "new revised standard version, new revised standard, in new revised standard"),
+    ("RSV", "revised standard version, revised standard, in revised standard"), ("NET", "new english translation, in new english"),
+    ("CEV", "contemporary english, contemporary english version, in contemporary english"),
+    ("GNT", "good news, good news translation, good news bible, in good news"),
+]
+#: What is said before the abbreviation or a short name of an edition, and those names.
+EDITION_REQUESTS = ["give me", "read in", "switch to", "in the", "can i have it in", "can i have that in", "show me"]
+EDITION_REQUESTED = {"AMP": ["amplified", "amp"], "SpaRV": ["reina valera", "spanish"], "FreJND": ["french"], "PorBLivre": ["portuguese"], "MSG": ["the message", "message"], "GNT": ["gnt", "gnb", "good news"]}
+#: Phrases that stop and start the transcription.
+STOP_PHRASES = ["stop transcribing", "stop transcription", "stop the transcription", "stop listening", "stop recording"]
+START_PHRASES = ["start transcribing", "start transcription", "start the transcription", "start listening", "start recording"]
+
+
+def edition_phrases() -> list[tuple[str, str]]:
+    """(phrase, edition) in the order in which they are looked for."""
+    out = []
+    for edition, spoken in EDITION_NAMES:
+        out += [(f"{request} {name}", edition) for request in EDITION_REQUESTS for name in EDITION_REQUESTED.get(edition, [edition.lower()])]
+        out += [(name, edition) for name in spoken.split(", ")]
+    return out
+
+
+def edition_command(text: Column, phrases: list[tuple[str, str]] | None = None) -> Column:
+    """The edition a text asks for: by the first listed phrase it contains (edition_phrases() by default), else by its first
+    edition word; null without one."""
     low = F.lower(text)
     words = F.filter(F.transform(F.split(low, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w.isin(*EDITION_WORDS))
     table = F.create_map(*[F.lit(x) for kv in sorted(EDITION_WORDS.items()) for x in kv])
-    named = [F.when(F.contains(low, F.lit(p)), F.lit(a)) for p, a in phrases]
+    named = [F.when(F.contains(low, F.lit(p)), F.lit(a)) for p, a in (edition_phrases() if phrases is None else phrases)]
     return F.coalesce(*named, F.when(F.size(words) > 0, table[F.get(words, F.lit(0))]))
 
 
+def transcription_command(text: Column) -> Column:
+    """`stop` or `start` if a text asks for the transcription to stop or, else, to start; null for neither."""
+    has = lambda phrases: F.lower(text).rlike("|".join(map(re.escape, phrases)))
+    return F.when(has(STOP_PHRASES), "stop").when(has(START_PHRASES), "start")
+
+
 def slide_command(text: Column) -> Column:
     """`next`, `previous`, or the number of a slide to jump to; null for none."""
     low = F.lower(text)

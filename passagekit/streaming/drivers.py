@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from passagekit.runtime import ship_code
+from passagekit.streaming.transitions import Newest
 
 
 def _clean(row: dict) -> dict:
@@ -43,7 +45,7 @@ def fold(df: DataFrame, make, key: str, order: list[str], schema: str) -> DataFr
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def stream(df: DataFrame, make, key: str, order: list[str], schema: str, key_type: str = "string", idle_ms: int | None = None) -> DataFrame:
+def stream(df: DataFrame, make, key: str, order: list[str], schema: str, idle_ms: int | None = None) -> DataFrame:
     """The same machine over a streaming DataFrame: its state, as JSON, is Spark's, so it survives restarts.
 
     Rows of one trigger are put in order before they are folded; with idle_ms (and a watermark on df) a session
@@ -78,6 +80,8 @@ def latest_per_key(df: DataFrame, key: list[str], seq: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*others), seq).alias("_r")).select(*key, "_r.*")
 
 
-def drop_stale(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    """A stream without rows later than `delay` behind the newest."""
-    return df.withWatermark(ts, delay)
+def drop_stale(df: DataFrame, key: str, seq: str, schema: str) -> DataFrame:
+    """A stream (or table) without rows that arrive after a newer one of their key: the newest sequence number of each key is
+    state. In one trigger, and in a table, rows come in the order of column `arrived`."""
+    run = stream if df.isStreaming else fold
+    return run(df, functools.partial(Newest, seq), key, ["arrived"], schema)

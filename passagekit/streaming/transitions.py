@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from passagekit.operators.references import AGAIN, BOOKS, Matcher, continuation, detect, parse_after, read
+from passagekit.operators.references import AGAIN, BOOKS, Matcher, clean_text, continuation, detect, parse_after, read
 
 _OUTER = re.compile(r"^[^\w]+|[^\w]+$")
 
@@ -119,7 +119,7 @@ class Detector:
         return state
 
     def step(self, state: dict, e: dict) -> tuple[dict, list[dict]]:
-        text = e.get("text") or ""
+        text = clean_text(e.get("text") or "")
         low = text.lower()
         if any(p in low for p in AGAIN) and state["recent"]:
             book, chapter, verse = state["recent"][0]
@@ -127,8 +127,8 @@ class Detector:
         pending, out = state["pending"], []
         if pending and e["ts"] - pending["at"] > self.hold_ms:
             pending = None
-        named = self.matcher.find(low) or self.matcher.fuzzy(low)
-        if pending and (not named or named[0][2] == pending["book"] and not out):
+        named = self.matcher.named(low)
+        if pending and (not named or named[0][2] == pending["book"]):
             said = continuation(low[: named[0][0]] if named else low, pending["book_only"])
             if said:
                 chapter, verse = said[0] or pending["chapter"], said[1]
@@ -144,7 +144,7 @@ class Detector:
                 return {**state, "pending": {**pending, "at": e["ts"]}}, []
         if not named:
             return {**state, "pending": pending}, []
-        for r in detect(text, self.matcher):
+        for r in detect(text, self.matcher, named):
             out.append({**e, **{k: r[k] for k in ("book_number", "book_name", "chapter", "verse_start", "verse_end", "confidence", "chapter_only")}})
             state = self._emit(state, e, r)
             if r["chapter_only"]:
@@ -159,37 +159,92 @@ class Detector:
 
 
 class ReadingMode:
-    """Follows a reader through a chapter: moves on when the words heard since the last move cover enough of the
-    current, next or next but one verse; jumps on "verse N"; pauses after a long silence.
+    """Follows a reader through a chapter.
+
+    Commands come first: "chapter N [verse M]", "next chapter", "previous chapter" and, after a lone "chapter", bare numbers
+    ask for another chapter (why `chapter`; the caller answers with its verses); "verse N", "next [verse]", "previous verse", "go back"
+    and a number at the start move within this one (why `command`), also out of a pause. Else the words heard since the
+    last move decide: where they cover enough of the current verse, only the next one can follow, and must be covered too;
+    where they do not, the next or the next but one. After a silence without a match it pauses.
 
     verses: [[number, [words]], ...] of the chapter, given by the event that starts it."""
 
-    def __init__(self, least: float = 0.40, silence_ms: int = 180_000):
-        self.least, self.silence_ms = least, silence_ms
+    def __init__(self, least: float = 0.40, silence_ms: int = 180_000, most: int = 176):
+        self.least, self.silence_ms, self.most = least, silence_ms, most
 
     def start(self) -> dict:
-        return {"verses": [], "at": 0, "heard": [], "last": None, "active": False}
+        return {"verses": [], "chapter": 0, "at": 0, "heard": [], "last": None, "active": False, "expect": None}
+
+    def _chapter(self, state: dict, said: str, tokens: list, kinds: str) -> tuple[int, int | None] | None:
+        """(chapter, verse) that is asked for."""
+        if state["expect"] == "chapter" and kinds in ("N", "NN"):
+            return tokens[0].value, tokens[1].value if kinds == "NN" else 1
+        if said == "next chapter":
+            return state["chapter"] + 1, None
+        if said == "previous chapter":
+            return (state["chapter"] - 1, None) if state["chapter"] > 1 else None
+        m = re.search(r"C(?P<c>N)(?:.*?V(?P<v>N))?", kinds) or re.match(r"(?P<c>N).*?V(?P<v>N)", kinds)
+        if not m:
+            return None
+        chapter, verse = tokens[m.start("c")].value, tokens[m.start("v")].value if m["v"] else None
+        return None if chapter == state["chapter"] and verse is None else (chapter, verse)
+
+    def _verse(self, state: dict, said: str, tokens: list, kinds: str) -> int | None:
+        """The place of the verse that is asked for."""
+        if said in ("next", "next verse"):
+            return state["at"] + 1 if state["at"] + 1 < len(state["verses"]) else None
+        if said in ("previous verse", "go back"):
+            return state["at"] - 1 if state["at"] else None
+        at = kinds.find("V")
+        if at >= 0:
+            while kinds[at + 1 : at + 2] == "V":
+                at += 1
+            number = tokens[at + 1].value if kinds[at + 1 : at + 2] == "N" else None
+        elif said.startswith("first ") and kinds[1:2] == "N":
+            number = tokens[1].value
+        else:
+            number = tokens[0].value if kinds[:1] == "N" and kinds[1:2] != "N" else None
+        return next((i for i, v in enumerate(state["verses"]) if v[0] == number and 1 <= number <= self.most), None)
 
     def step(self, state: dict, e: dict) -> tuple[dict, list[dict]]:
         if e.get("verses"):
             at = next((i for i, v in enumerate(e["verses"]) if v[0] == e.get("verse")), 0)
-            return {"verses": e["verses"], "at": at, "heard": [], "last": e["ts"], "active": True}, [{**e, "verse": e["verses"][at][0], "why": "start"}]
+            state = {**self.start(), "verses": e["verses"], "chapter": e.get("chapter") or 0, "at": at, "last": e["ts"], "active": True, "expect": state["expect"]}
+            return state, [{**e, "verse": e["verses"][at][0], "why": "start"}]
         if not state["active"]:
             return state, []
+        low = (e.get("text") or "").lower()
+        said, tokens = low.strip().rstrip(".,?! "), read(low)
+        kinds = "".join(t.kind for t in tokens)
+        if kinds.endswith("C") and "next" not in said and "previous" not in said:
+            state = {**state, "expect": "chapter"}
+        elif asked := self._chapter(state, said, tokens, kinds):
+            state = {**state, "expect": None if asked[1] and kinds != "N" else "verse"}
+            return state, [{**e, "chapter": asked[0], "verse": asked[1] or 1, "why": "chapter"}]
+        at = self._verse(state, said, tokens, kinds)
+        if state["expect"] == "verse" and kinds == "N":
+            state = {**state, "expect": None}
+        if at is not None:
+            return {**state, "at": at, "heard": [], "last": e["ts"]}, [{**e, "verse": state["verses"][at][0], "why": "command"}]
         if e["ts"] - state["last"] > self.silence_ms:
             return {**state, "active": False}, [{**e, "verse": state["verses"][state["at"]][0], "why": "pause"}]
-        low = (e.get("text") or "").lower()
-        state = {**state, "last": e["ts"]}
-        tokens = read(low)
-        asked = next((tokens[i + 1].value for i in range(len(tokens) - 1) if tokens[i].kind == "V" and tokens[i + 1].kind == "N"), None)
-        if asked is not None and (i := next((i for i, v in enumerate(state["verses"]) if v[0] == asked), None)) is not None:
-            return {**state, "at": i, "heard": []}, [{**e, "verse": asked, "why": "command"}]
-        heard = sorted({*state["heard"], *(w for w in re.findall(r"[^\W_]+", low) if len(w.encode()) >= 2)})
-        for i in range(state["at"] + 1, min(state["at"] + 3, len(state["verses"]))):
-            number, words = state["verses"][i]
-            if words and len({*words} & {*heard}) / len({*words}) >= self.least:
-                return {**state, "at": i, "heard": []}, [{**e, "verse": number, "why": "overlap"}]
-        return {**state, "heard": heard}, []
+        words = ("".join(c for c in w if c.isalnum() or c == "'") for w in low.split())
+        heard = {*state["heard"], *(w for w in words if len(w.encode()) >= 2)}
+        state = {**state, "heard": sorted(heard)}
+
+        def covered(i: int) -> bool:
+            words = {*state["verses"][i][1]} if i < len(state["verses"]) else set()
+            return bool(words) and len(words & heard) / len(words) >= self.least
+
+        at = state["at"]
+        if covered(at):
+            follows = at + 1 if covered(at + 1) else None
+            state = {**state, "last": e["ts"]}
+        else:
+            follows = next((i for i in (at + 1, at + 2) if covered(i)), None)
+        if follows is None:
+            return state, []
+        return {**state, "at": follows, "heard": [], "last": e["ts"]}, [{**e, "verse": state["verses"][follows][0], "why": "overlap"}]
 
 
 class VoiceGate:
@@ -226,17 +281,51 @@ class RollingPrompt:
         return {"texts": texts, "at": e["ts"]}, [{**e, "prompt": " ".join(texts)[: self.chars]}]
 
 
+class Newest:
+    """Rows that are not older, by their sequence number, than the newest one before them; the rest are stale. Rows
+    without a number pass and change nothing."""
+
+    def __init__(self, seq: str = "seq"):
+        self.seq = seq
+
+    def start(self) -> dict:
+        return {"newest": None}
+
+    def step(self, s: dict, e: dict) -> tuple[dict, list[dict]]:
+        seq, newest = e.get(self.seq), s["newest"]
+        if seq is None:
+            return s, [e]
+        if newest is not None and seq < newest:
+            return s, []
+        return {"newest": seq}, [e]
+
+
 class Queue:
     """Detections to a queue: a verse already there is not added again; a fuller reference replaces an early one
-    of the same chapter, else of the same book. One row for each change."""
-
-    def __init__(self, longest: int = 500):
-        self.longest = longest
+    of the same chapter, else of the same book. `active` is the place of the item that is shown: it stays with that item as
+    items go, and an `activate`, `remove` or `clear` command moves it. One row for each change."""
 
     def start(self) -> dict:
-        return {"items": []}
+        return {"items": [], "active": None}
+
+    def _command(self, s: dict, e: dict) -> tuple[dict, list[dict]]:
+        items, active, command, place = s["items"], s["active"], e["command"], e.get("place")
+        if command == "clear":
+            return self.start(), [{**e, "change": "cleared", "place": None}]
+        if place is None or not 0 <= place < len(items):
+            return s, []
+        if command == "activate":
+            return {**s, "active": place}, [{**e, "change": "activated", "place": place}]
+        if command == "remove":
+            if active is not None and (place < active or place == active == len(items) - 1):
+                active = active - 1 if active else None
+            items = [*items[:place], *items[place + 1 :]]
+            return {"items": items, "active": active if items else None}, [{**e, "change": "removed", "place": place}]
+        return s, []
 
     def step(self, s: dict, e: dict) -> tuple[dict, list[dict]]:
+        if e.get("command"):
+            return self._command(s, e)
         key = [e["book_number"], e["chapter"], 0 if e.get("chapter_only") else e["verse_start"]]
         items = s["items"]
         if key in items:
@@ -246,9 +335,8 @@ class Queue:
             early = next((i for i, x in enumerate(items) if x[0] == key[0] and not x[2]), None)
         if early is not None and key[2]:
             items = [*items[:early], key, *items[early + 1 :]]
-            return {"items": items}, [{**e, "change": "refined", "place": early}]
-        items = [*items, key][-self.longest :]
-        return {"items": items}, [{**e, "change": "added", "place": len(items) - 1}]
+            return {**s, "items": items}, [{**e, "change": "refined", "place": early}]
+        return {**s, "items": [*items, key]}, [{**e, "change": "added", "place": len(items)}]
 
 
 class CommandGate:
@@ -267,26 +355,29 @@ class CommandGate:
 
 
 class PlanRun:
-    """A plan's items under commands: activate (item), complete, skip, reset. Completing or skipping the active item
-    activates the next one that is open. The log keeps the latest entries."""
+    """A plan's items under commands: load (item: how many), activate (item), complete, skip, reset. Completing or skipping the
+    active item activates the next one that is open. Every change enters the log, (ts, command, item), which keeps its latest
+    `log` entries; a row carries the number of entries that were ever made."""
 
     def __init__(self, log: int = 200):
         self.log = log
 
     def start(self) -> dict:
-        return {"items": [], "active": None}
+        return {"items": [], "active": None, "log": [], "entries": 0}
 
     def step(self, s: dict, e: dict) -> tuple[dict, list[dict]]:
         command, items, active = e["command"], list(s["items"]), s["active"]
+        about = active
         if command == "load":
-            return {"items": ["pending"] * e["item"], "active": None}, [{**e, "active": None}]
-        if command == "activate" and 0 <= e["item"] < len(items):
-            active = e["item"]
+            items, active, about = ["pending"] * e["item"], None, None
+        elif command == "activate" and 0 <= e["item"] < len(items):
+            active = about = e["item"]
         elif command in ("complete", "skip") and active is not None:
             items[active] = "completed" if command == "complete" else "skipped"
             active = next((i for i in range(active + 1, len(items)) if items[i] == "pending"), None)
         elif command == "reset":
-            items, active = ["pending"] * len(items), None
+            items, active, about = ["pending"] * len(items), None, None
         else:
             return s, []
-        return {"items": items, "active": active}, [{**e, "active": active}]
+        log = [*s["log"], [e.get("ts"), command, about]][-self.log :]
+        return {"items": items, "active": active, "log": log, "entries": s["entries"] + 1}, [{**e, "active": active, "entries": s["entries"] + 1}]

@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
-from passagekit.operators.references import BOOKS, MAX_CHAPTER, Matcher, continuation, detect, hymn_command, names, parse_after, read
-from passagekit.streaming.transitions import CommandGate, Cooldown, Debounce, Detector, PlanRun, Queue, ReadingMode, RollingPrompt, Router, SentenceBuffer, VoiceGate
+from passagekit.operators.references import BOOKS, MAX_CHAPTER, Matcher, clean, clean_text, continuation, detect, edition_command, hymn_command, is_valid, names, parse_after, read, transcription_command
+from passagekit.streaming.transitions import CommandGate, Cooldown, Debounce, Detector, Newest, PlanRun, Queue, ReadingMode, RollingPrompt, Router, SentenceBuffer, VoiceGate
 
 MATCHER = Matcher()
 
@@ -174,3 +175,78 @@ def test_command_gate_and_plan():
     assert [bool(r) for r in out] == [True, False, True, True, True]
     out, state = run(PlanRun(), [{"command": "load", "item": 3}, {"command": "activate", "item": 0}, {"command": "complete", "item": None}, {"command": "skip", "item": None}, {"command": "nonsense", "item": None}])
     assert [r[0]["active"] if r else "-" for r in out] == [None, 0, 1, 2, "-"] and state["items"] == ["completed", "skipped", "pending"]
+
+
+#: Fragments and the first reference in them: (book, chapter, verse); None for none.
+SPOKEN = [
+    ("Rom 8:28", (45, 8, 28)), ("Heb 11:1", (58, 11, 1)), ("Rev 3:20", (66, 3, 20)), ("Dan 9:24", (27, 9, 24)), ("Num 6:24", (4, 6, 24)),
+    ("Jn 3:16", (43, 3, 16)), ("Mt 5:3", (40, 5, 3)), ("Ps 23:1", (19, 23, 1)), ("Phlm 1:6", (57, 1, 6)), ("Lk 2:1", (42, 2, 1)), ("Mk 1:1", (41, 1, 1)),
+    ("Song of Songs 2:1", (22, 2, 1)), ("two timothy 3:16", (55, 3, 16)), ("one john chapter 2 verse 3", (62, 2, 3)), ("song chapter 23 verse 1", (19, 23, 1)),
+    ("1Cor 13:4", (46, 13, 4)), ("2nd Peter 1:3", (61, 1, 3)), ("III John 1:2", (64, 1, 2)), ("1 Co 2:9", (46, 2, 9)), ("Apocalypse 1:8", (66, 1, 8)),
+    ("please open your bibles to Genesis 1:1", (1, 1, 1)), ("look at Mark 4:5", (41, 4, 5)), ("Mark 30:1", None), ("John 99999999999:1", None), ("good morning everyone", None),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), SPOKEN)
+def test_batch_and_stream_give_the_right_books(text, want):
+    first = lambda rows: (rows[0]["book_number"], rows[0]["chapter"], rows[0]["verse_start"]) if rows else None
+    assert first(detect(clean_text(text), MATCHER)) == want
+    m = Detector()
+    assert first(m.step(m.start(), {"ts": 0, "text": text})[1]) == want
+
+
+def test_cleaning_is_the_same_for_columns_and_strings(spark):
+    texts = [t for t, _ in SPOKEN] + ["Turn in your Bibles to  two Kings", "look at me", "someone john", "ONE JOHN and two timothys", "revelations", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t").withColumn("c", clean(F.col("t"))).collect()
+    assert [r.c for r in rows] == [clean_text(r.t) for r in rows]
+
+
+def test_editions_and_lifecycle_commands(spark):
+    texts = [("new king james please", "NKJV", None), ("read in the message", "MSG", None), ("Holman Christian Standard", "HCSB", None), ("can I have it in amp", "AMP", None), ("KJV!", "KJV", None), ("stop listening", None, "stop"), ("please start the transcription", None, "start"), ("start and stop recording", None, "stop"), ("nothing", None, None)]
+    df = spark.createDataFrame(texts, "t string, e string, c string")
+    for r in df.select("*", edition_command(F.col("t")).alias("ge"), transcription_command(F.col("t")).alias("gc")).collect():
+        assert (r.ge, r.gc) == (r.e, r.c), r.t
+
+
+def test_validity_follows_every_books_chapters(spark):
+    rows = [(b, c) for b in range(-1, 69) for c in (-1, 0, 1, 2, 16, 22, 66, 150, 151)] + [(None, 1), (1, None)]
+    got = spark.createDataFrame(rows, "b int, c int").select("b", "c", is_valid(F.col("b"), F.col("c")).alias("ok")).collect()
+    assert all(r.ok == (r.b is not None and r.c is not None and 1 <= r.b <= 66 and 1 <= r.c <= MAX_CHAPTER[r.b - 1]) for r in got)
+
+
+def test_reading_mode_commands_and_recurring_words():
+    verses = [[1, "the lord is good to all".split()], [2, "the lord is near to all".split()], [3, "bless the name for ever".split()]]
+    m = ReadingMode()
+    state, _ = m.step(m.start(), {"ts": 0, "verses": verses, "verse": 1, "chapter": 5})
+    out = []
+    for ts, text in enumerate(["the lord", "lord is good", "next verse", "go back", "go back", "verse 3", "chapter five", "let's go to chapter seven", "chapter 8 verse 2", "next chapter", "Genesis chapter", "3", "2"], 1):
+        state, rows = m.step(state, {"ts": ts, "text": text})
+        out.append([(r.get("chapter", 5), r["verse"], r["why"]) for r in rows])
+    assert out == [[], [(5, 2, "overlap")], [(5, 3, "command")], [(5, 2, "command")], [(5, 1, "command")], [(5, 3, "command")], [], [(7, 1, "chapter")], [(8, 2, "chapter")], [(6, 1, "chapter")], [], [(3, 1, "chapter")], [(5, 2, "command")]]
+
+
+def test_reading_mode_pauses_without_a_match_and_resumes_by_command():
+    m = ReadingMode()
+    state, _ = m.step(m.start(), {"ts": 0, "verses": [[1, ["alpha", "beta"]], [2, ["gamma", "delta"]]], "verse": 1})
+    state, rows = m.step(state, {"ts": 200_000, "text": "verse 2"})
+    assert rows[0]["verse"] == 2 and state["active"]
+    state, rows = m.step(state, {"ts": 400_001, "text": "hello"})
+    assert rows[0]["why"] == "pause" and not state["active"]
+
+
+def test_stale_rows_go():
+    out, _ = run(Newest(), [{"seq": s} for s in (1, 3, 2, 3, None, 4)])
+    assert [bool(r) for r in out] == [True, True, False, True, True, True]
+
+
+def test_queue_keeps_the_active_item_and_every_item():
+    verses = [{"book_number": 1, "chapter": 1, "verse_start": v} for v in range(1, 701)]
+    out, state = run(Queue(), [*verses, {"command": "activate", "place": 600}, {"command": "remove", "place": 10}, {"command": "remove", "place": 650}])
+    assert len(state["items"]) == 698 and state["active"] == 599
+    out, state = run(Queue(), [*verses[:2], {"command": "activate", "place": 1}, {"command": "remove", "place": 1}, {"command": "remove", "place": 0}])
+    assert state == {"items": [], "active": None}
+
+
+def test_plan_log_is_bounded_and_counts_on():
+    _, state = run(PlanRun(log=3), [{"ts": 0, "command": "load", "item": 3}, *[{"ts": t, "command": "activate", "item": t % 3} for t in range(1, 6)]])
+    assert state["log"] == [[3, "activate", 0], [4, "activate", 1], [5, "activate", 2]] and state["entries"] == 6
