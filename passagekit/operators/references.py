@@ -331,14 +331,32 @@ def detect_references(df: DataFrame, keys: list[str], text: str = "text") -> Dat
     return narrow.mapInArrow(run, f"{schema}, found {DETECTION}").select(*keys, F.explode("found").alias("r")).select(*keys, "r.*")
 
 
+#: A dictionary's first words go with the plan up to this number.
+MOST_FIRST = 10_000
+
+
+def _gram(n: int):
+    """A place -> the n words from there on, none if there are fewer."""
+
+    def gram(g: Column) -> Column:
+        phrase = F.when(g["start"] + n <= F.size("w"), F.array_join(F.slice("w", g["start"] + 1, n), " "))
+        return F.struct(g["start"].alias("start"), F.lit(n).alias("n_words"), phrase.alias("phrase"))
+
+    return gram
+
+
 def dictionary_spans(df: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text", most_words: int = 3) -> DataFrame:
     """(keys, start, n_words, phrase, id): leftmost-longest non-overlapping dictionary phrases, as an equi-join.
 
     Word n-grams meet the dictionary (phrase, id) by an equality join, so neither side is scanned for the other;
-    overlaps are settled by a fold over the hits of one text. Positions count words from 0."""
+    overlaps are settled by a fold over the hits of one text. Of a dictionary of at most MOST_FIRST first words, only words that
+    begin a phrase start n-grams. Positions count words from 0."""
+    firsts = [r.w for r in dictionary.select(F.split("phrase", " ")[0].alias("w")).distinct().limit(MOST_FIRST + 1).collect()]
+    begins = (lambda w: w.isin(firsts)) if len(firsts) <= MOST_FIRST else lambda w: F.lit(True)
     words = df.select(*keys, F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.when(i + n - 1 <= F.size("w"), F.struct((i - 1).alias("start"), n.alias("n_words"), F.array_join(F.slice("w", i, n), " ").alias("phrase"))))))
-    hits = words.filter(F.size("w") > 0).select(*keys, F.explode(F.filter(grams, lambda g: g.isNotNull())).alias("g")).select(*keys, "g.*").join(dictionary, "phrase")
+    starts = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("start"), x.alias("first"))), lambda g: begins(g["first"]))
+    made = [F.transform(starts, _gram(n)) for n in range(1, most_words + 1)]
+    hits = words.select(*keys, F.explode(F.filter(F.concat(*made), lambda g: g["phrase"].isNotNull())).alias("g")).select(*keys, "g.*").join(dictionary, "phrase")
     kind = "array<struct<start:int,minus:int,n_words:int,phrase:string,id:int>>"
     ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("n_words")).alias("minus"), "n_words", "phrase", F.col("id").cast("int").alias("id"))))
     fold = F.aggregate(

@@ -56,35 +56,51 @@ def anchors(queries: DataFrame, frequency: DataFrame) -> DataFrame:
     return rarest.filter("lacks = 0").select("query_id", "a.*")
 
 
+def _candidates(queries: DataFrame, index: BatchIndex) -> DataFrame:
+    """(query_id, words, at, term, KEY, n_terms, hits): the passages with the rarest word of each query."""
+    rarest = anchors(queries, index.frequency)
+    rarest = F.broadcast(rarest) if index.few else rarest
+    return index.rows.select("*", F.explode(F.array_distinct("hits.term")).alias("term")).join(rarest, "term")
+
+
 def phrase_hits(queries: DataFrame, index: BatchIndex) -> DataFrame:
-    """(query_id, doc_id, paragraph, f): how often the query's words stand in a row. queries: (query_id, words).
+    """(query_id, doc_id, paragraph, n_terms, f): how often the query's words stand in a row. queries: (query_id, words).
+
+    Only passages with each query's rarest word are looked at; the words around it are compared within the passage."""
+    n = F.size("words")
 
-    Only the postings of each query's rarest word are looked up; the passages they name are compared word by word."""
-    starts = anchors(queries, index.frequency).join(index.posts, "term").withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0")
-    compared = starts.select("query_id", "words", "start", *KEY).join(index.texts, KEY)
-    return compared.filter(F.slice("toks", F.col("start") + 1, F.size("words")) == F.col("words")).groupBy("query_id", *KEY).agg(F.count("*").alias("f"))
+    def stands(start) -> Column:
+        around = F.filter("hits", lambda h: (h["pos"] >= start) & (h["pos"] < start + n))
+        return F.transform(around, lambda h: h["term"]) == F.col("words")
+
+    starts = F.transform(F.filter("hits", lambda h: h["term"] == F.col("term")), lambda h: h["pos"] - F.col("at"))
+    found = _candidates(queries, index).withColumn("f", F.size(F.filter(starts, stands)).cast("bigint"))
+    return found.filter("f > 0").select("query_id", *KEY, "n_terms", "f")
 
 
 def term_hits(queries: DataFrame, index: BatchIndex, every: bool) -> DataFrame:
-    """(query_id, doc_id, paragraph, term, f) for passages with every word of a query, or any."""
+    """(query_id, doc_id, paragraph, n_terms, term, f) for passages with every word of a query, or any."""
+    count = lambda term: F.size(F.filter("hits", lambda h: h["term"] == term)).cast("bigint")
     if every:
-        found = anchors(queries, index.frequency).join(index.posts.select("term", *KEY).distinct(), "term").select("query_id", F.array_distinct("words").alias("words"), *KEY)
-        full = found.join(index.texts, KEY).filter(F.size(F.array_except("words", "toks")) == 0)
-        return full.select("query_id", *KEY, "toks", F.explode("words").alias("term")).select("query_id", *KEY, "term", F.size(F.filter("toks", lambda t: t == F.col("term"))).cast("bigint").alias("f"))
+        found = _candidates(queries, index).drop("term").withColumn("words", F.array_distinct("words"))
+        full = found.filter(F.size(F.array_except("words", F.col("hits.term"))) == 0)
+        return full.select("query_id", *KEY, "n_terms", "hits", F.explode("words").alias("term")).select("query_id", *KEY, "n_terms", "term", count(F.col("term")).alias("f"))
     words = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
     # Terms are counted in each passage once, not once a query.
-    return words.join(index.posts.groupBy("term", *KEY).agg(F.count("*").alias("f")), "term")
+    return words.join(index.counts, "term").select("query_id", *KEY, "n_terms", "term", "f")
 
 
 def scored_phrases(hits: DataFrame, sizes: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, doc_id, paragraph, score): the phrase counts as one term."""
+    """(query_id, doc_id, paragraph, score): the phrase counts as one term. Lengths come from `sizes` where the hits have none."""
     n = hits.groupBy("query_id").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(n), "query_id").join(sizes, KEY).crossJoin(F.broadcast(stats))
+    rows = hits if "n_terms" in hits.columns else hits.join(sizes, KEY)
+    rows = rows.join(n, "query_id").crossJoin(F.broadcast(stats))
     return rows.select("query_id", *KEY, F.round(bm25(idf(F.col("n_docs"), F.col("df")), F.col("f"), F.col("n_terms"), F.col("avg_len")), 6).alias("score"))
 
 
 def scored_terms(hits: DataFrame, frequency: DataFrame, sizes: DataFrame, stats: DataFrame) -> DataFrame:
-    rows = hits.join(frequency.select("term", "df"), "term").join(sizes, KEY).crossJoin(F.broadcast(stats))
+    rows = hits if "n_terms" in hits.columns else hits.join(sizes, KEY)
+    rows = rows.join(frequency.select("term", "df"), "term").crossJoin(F.broadcast(stats))
     part = bm25(idf(F.col("n_docs"), F.col("df")), F.col("f"), F.col("n_terms"), F.col("avg_len"))
     return rows.groupBy("query_id", *KEY).agg(F.round(F.sum(part), 6).alias("score"))
 
@@ -105,33 +121,43 @@ def batch_words(queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
 
 
-#: Terms of a batch are broadcast up to this number (a few MB); beyond it both sides are shuffled.
-MOST_TERMS = 100_000
+#: Terms of a batch are looked up in a set that goes with the plan up to this number; beyond it they are joined.
+MOST_TERMS = 20_000
 
 
 @dataclass
 class BatchIndex:
-    """What a batch of queries needs of an index."""
+    """What a batch of queries needs of an index: rows (KEY, n_terms, hits: the places of the batch's terms), counts
+    (term, KEY, n_terms, f), sizes (KEY, n_terms), statistics of all passages and document frequencies of the terms; and whether the batch is small."""
 
-    posts: DataFrame
-    texts: DataFrame
+    rows: DataFrame
+    counts: DataFrame
     sizes: DataFrame
     stats: DataFrame
     frequency: DataFrame
+    few: bool
 
 
 def batch_index(passages: DataFrame, forms: tuple[DataFrame, ...]) -> BatchIndex:
-    """Postings and document frequencies of a batch's terms, words, lengths and statistics of all passages.
-
-    The postings of all other terms are left out before anything is shuffled."""
+    """Passages are read and cut into words once: all but the batch's terms go at once, and nothing is shuffled but counts."""
     terms = forms[0].select(F.explode("words").alias("term"))
     for f in forms[1:]:
         terms = terms.union(f.select(F.explode("words").alias("term")))
-    terms = cut(terms.distinct())
-    wanted = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
-    posts = cut(postings(passages).join(wanted, "term", "left_semi"))
-    sizes = cut(lengths(passages))
-    return BatchIndex(posts, passages.select(*KEY, tokens(F.col("text")).alias("toks")), sizes, statistics(sizes), cut(document_frequency(posts)))
+    wanted = [r.term for r in terms.distinct().limit(MOST_TERMS + 1).collect()]
+    few = len(wanted) <= MOST_TERMS
+    placed = lambda t, i: F.struct(i.alias("pos"), t.alias("term"))
+    read = passages.select(*KEY, tokens(F.col("text")).alias("toks")).select(*KEY, F.size("toks").cast("bigint").alias("n_terms"), F.transform("toks", placed).alias("hits"))
+    if few:
+        rows = cut(read.withColumn("hits", F.filter("hits", lambda h: h["term"].isin(wanted))))
+    else:
+        found = read.select(*KEY, F.explode("hits").alias("h")).join(terms.distinct(), F.col("h.term") == F.col("term"), "left_semi")
+        found = found.groupBy(*KEY).agg(F.array_sort(F.collect_list("h")).alias("hits"))
+        rows = cut(read.select(*KEY, "n_terms").join(found, KEY, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<pos:int,term:string>>"))))
+    stats, sizes = statistics(rows.select("n_terms")), rows.select(*KEY, "n_terms")
+    rows = rows.filter(F.size("hits") > 0)
+    distinct = F.transform(F.array_distinct("hits.term"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda h: h["term"] == t)).cast("bigint").alias("f")))
+    counts = rows.select(*KEY, "n_terms", F.explode(distinct).alias("c")).select("c.term", *KEY, "n_terms", "c.f")
+    return BatchIndex(rows, counts, sizes, stats, cut(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("cf"))), few)
 
 
 def tiered_search(passages: DataFrame, queries: DataFrame, k: int = 10, fetch: int = 4, only: Column | None = None) -> DataFrame:
@@ -143,11 +169,11 @@ def tiered_search(passages: DataFrame, queries: DataFrame, k: int = 10, fetch: i
     phrase, all_, any_ = forms = batch_words(queries)
     index = batch_index(passages, forms)
     sizes, stats, frequency = index.sizes, index.stats, index.frequency
-    shown = sizes if only is None else sizes.join(passages.filter(only).select(*KEY), KEY, "left_semi")
-    found = cut(top(scored_phrases(phrase_hits(phrase, index), shown, stats), fetch * k).withColumn("tier", F.lit(1)))
-    second = top(scored_terms(term_hits(_lacking(all_, found, k), index, True), frequency, shown, stats), fetch * k).withColumn("tier", F.lit(2))
+    shown = (lambda hits: hits) if only is None else lambda hits: hits.join(passages.filter(only).select(*KEY), KEY, "left_semi")
+    found = cut(top(scored_phrases(shown(phrase_hits(phrase, index)), sizes, stats), fetch * k).withColumn("tier", F.lit(1)))
+    second = top(scored_terms(shown(term_hits(_lacking(all_, found, k), index, True)), frequency, sizes, stats), fetch * k).withColumn("tier", F.lit(2))
     found = cut(found.unionByName(second))
-    third = top(scored_terms(term_hits(_lacking(any_, found, k), index, False), frequency, shown, stats), fetch * k).withColumn("tier", F.lit(3))
+    third = top(scored_terms(shown(term_hits(_lacking(any_, found, k), index, False)), frequency, sizes, stats), fetch * k).withColumn("tier", F.lit(3))
     found = found.unionByName(third)
     once = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", *KEY).orderBy("tier"))).filter("_r = 1")
     order = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), *KEY)
@@ -157,7 +183,7 @@ def tiered_search(passages: DataFrame, queries: DataFrame, k: int = 10, fetch: i
 def _lacking(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Queries with fewer than k distinct passages so far."""
     full = found.select("query_id", *KEY).distinct().groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    return queries.join(F.broadcast(full.select("query_id")), "query_id", "left_anti")
+    return queries.join(full.select("query_id"), "query_id", "left_anti")
 
 
 def rank_confidence(rank: Column, first: float = 0.75, decay: float = 0.04, least: float = 0.42) -> Column:

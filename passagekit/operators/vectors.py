@@ -7,9 +7,13 @@ nor the pairs of one query are ever gathered. A handful of queries is broadcast
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagekit.runtime import ship_code
+
 #: Queries are broadcast up to this number; beyond it they are dealt out in blocks.
 MOST_BROADCAST = 4096
 
@@ -25,19 +29,57 @@ def normalise(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+def _best_of_blocks(vectors: DataFrame, queries: list, k: int, digits: int) -> DataFrame:
+    """(query_id, vec_id, similarity): for each query the best k vectors of every block of rows, and those that equal the k-th
+    when rounded. A block's products are one matrix."""
+    ship_code(vectors.sparkSession)
+    by_size: dict[int, tuple[list[int], list]] = {}
+    for q in queries:
+        if q.vector and None not in q.vector:
+            ids, rows = by_size.setdefault(len(q.vector), ([], []))
+            ids.append(q.query_id)
+            rows.append(q.vector)
+    shared = vectors.sparkSession.sparkContext.broadcast({n: (np.array(ids, np.int64), np.array(rows, np.float64)) for n, (ids, rows) in by_size.items()})
+
+    def run(batches):
+        known = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, column = b.column(0).to_numpy(), b.column(1)
+            sizes = column.value_lengths().fill_null(0).to_numpy()
+            flat, starts = column.flatten(), np.cumsum(sizes) - sizes
+            values = flat.to_numpy(zero_copy_only=False)
+            for n, (query_ids, rows) in known.items():
+                at = np.flatnonzero(sizes == n)
+                if not at.size:
+                    continue
+                block = values[starts[at][:, None] + np.arange(n)]
+                whole = np.isfinite(block).all(axis=1)
+                at, block = at[whole], block[whole]
+                for first in range(0, len(query_ids), 256):
+                    products = rows[first : first + 256] @ block.T
+                    least = np.partition(products, max(0, at.size - k), axis=1)[:, max(0, at.size - k)] if at.size else np.zeros(0)
+                    q, v = np.nonzero(products >= least[:, None] - 10.0**-digits) if at.size else (at, at)
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[first : first + 256][q]), pa.array(ids[at[v]]), pa.array(products[q, v])], ["query_id", "vec_id", "similarity"])
+
+    return vectors.mapInArrow(run, "query_id long, vec_id long, similarity double").withColumn("similarity", F.round("similarity", digits))
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, blocks: int = 64, digits: int = 6) -> DataFrame:
-    """(query_id, rank, vec_id, similarity): best k by inner product, ties to the smaller id, at least `least`.
+    """(query_id, rank, vec_id, similarity): best k by inner product, ties to the smaller id, at least `least`. A few thousand
+    queries go to every task, where a block of rows and the queries make one matrix product; more are dealt out in blocks.
 
     vectors (vec_id, embedding), queries (query_id, vector). Vectors of another length than the query's match
     nothing. WindowGroupLimit keeps k rows of each query in every task before the shuffle."""
-    few = queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    if few:
-        pairs = vectors.join(F.broadcast(queries), F.size("embedding") == F.size("vector"))
+    asked = queries.limit(MOST_BROADCAST + 1).collect()
+    if len(asked) <= MOST_BROADCAST:
+        scored = _best_of_blocks(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), asked, k, digits)
     else:
         left = vectors.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
         right = queries.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         pairs = left.join(right, (left["_b"] == right["_b"]) & (F.size("embedding") == F.size("vector"))).drop(left["_b"], right["_b"])
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("vector")), digits).alias("similarity"))
+        scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("vector")), digits).alias("similarity"))
     if least is not None:
         scored = scored.filter(F.col("similarity") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
@@ -65,6 +107,30 @@ def overlap_boost(vector: DataFrame, text: DataFrame, keys: list[str], boost: fl
     return out.withColumn("source", F.when(both, "both").when(F.col("_v").isNotNull(), "vector").otherwise("text")).drop("_v", "_t")
 
 
+def to_passages(hits: DataFrame, passages: DataFrame) -> DataFrame:
+    """Vector hits (query_id, vec_id, similarity) as passages (query_id, doc_id, paragraph, similarity): the first passage of
+    the document whose number a vector has; vectors without one go."""
+    first = passages.groupBy("doc_id").agg(F.min("paragraph").alias("paragraph"))
+    return hits.join(first, hits["vec_id"] == first["doc_id"]).select("query_id", "doc_id", "paragraph", "similarity")
+
+
+def in_edition(hits: DataFrame, passages: DataFrame, active: Column, place: list[str]) -> DataFrame:
+    """hits (doc_id, paragraph, ..) with shown_doc_id: the document of the active edition (smallest id) that has the same place;
+    hits whose place the edition lacks go."""
+    known = passages.select("doc_id", "paragraph", *[c for c in place if c not in ("doc_id", "paragraph")])
+    shown = passages.filter(active).groupBy(*place).agg(F.min("doc_id").alias("shown_doc_id"))
+    return hits.join(known, ["doc_id", "paragraph"]).join(shown, place)
+
+
+def score_bands(rows: DataFrame, group: list[str], score: str, order: str, epsilon: float) -> DataFrame:
+    """rows with `band`, from 1 by descending score: a new one begins where a score lies at least epsilon below the one
+    above it, so that scores closer than that count as equal."""
+    w = Window.partitionBy(*group).orderBy(F.desc(score), order)
+    falls = F.lag(score).over(w)
+    begins = F.when(falls.isNull() | (falls - F.col(score) >= epsilon), 1).otherwise(0)
+    return rows.withColumn("_b", begins).withColumn("band", F.sum("_b").over(w)).drop("_b")
+
+
 def merge_detections(found: DataFrame, session: list[str], key: list[str], least: float = 0.45, auto: float = 0.80) -> DataFrame:
     """Detections (session, key, confidence, is_direct, ord) -> one a key: direct before semantic, then higher confidence,
     then earlier. Below `least` they go; the first of a session by confidence, if at least `auto`, is flagged auto_queued."""
@@ -92,7 +158,6 @@ def hashed_embedding(words: Column, dim: int = 64) -> Column:
 def embed_with(df: DataFrame, make_model, text: str = "text", out: str = "embedding") -> DataFrame:
     """Embed each distinct text once. make_model() is called once a task and returns a function from a list of
     texts to a list of float lists."""
-    import pyarrow as pa
 
     def run(batches):
         model = make_model()

@@ -120,11 +120,11 @@ _LACK = "where query_id not in (select query_id from (select distinct query_id,
 _CASCADE = f"""f1 as (select *, 1 as tier from {_top('t1', 4 * K)}),
   {_tier('t2', 2, 12, True, _LACK.format('f1'))}, f2 as (select * from f1 union all by name select *, 2 as tier from {_top('t2', 4 * K)}),
   {_tier('t3', 3, 10, False, _LACK.format('f2'))}, f3 as (select * from f2 union all by name select *, 3 as tier from {_top('t3', 4 * K)}),
-  once as (select * from f3 qualify row_number() over (partition by query_id, doc_id, paragraph order by tier) = 1)
-  select query_id, row_number() over (partition by query_id order by tier, score desc, doc_id, paragraph) as rank, cast(tier as bigint) as tier, doc_id, paragraph, score from once qualify rank <= {K}"""
+  once as (select * from f3 qualify row_number() over (partition by query_id, doc_id, paragraph order by tier) = 1),
+  cascade as (select query_id, row_number() over (partition by query_id order by tier, score desc, doc_id, paragraph) as rank, cast(tier as bigint) as tier, doc_id, paragraph, score from once qualify rank <= {K})"""
 
 
-@query("fts_tiered_bm25", f"with {PASSAGES}, {_POSTS}, {_BATCH}, {_PHRASE}, {_CASCADE}")
+@query("fts_tiered_bm25", f"with {PASSAGES}, {_POSTS}, {_BATCH}, {_PHRASE}, {_CASCADE} select * from cascade")
 def fts_tiered_bm25(spark, sf):
     return R.tiered_search(_p(spark, sf), _batch(spark, sf), K)
 
@@ -246,36 +246,58 @@ def rank_decay_confidence(spark, sf):
     return found.select("query_id", *R.KEY, R.rank_confidence(F.col("rank") - 1).alias("confidence")).filter("confidence is not null")
 
 
-_HYB = f"""{_VEC}, vh as (select * from ({_topk_sql('vec_id % 50 = 0', 10).replace('with ' + _VEC, '')})), th as (select query_id, cast(floor(vec_id / 2) as bigint) * 2 as vec_id, rank from vh where rank <= 8)"""
+# Vector hits stand for the first passage of the document of their number; text hits are those of the cascade.
+_HYB = f"""{PASSAGES}, {_POSTS}, {_BATCH}, {_PHRASE}, {_CASCADE}, {_VEC}, firsts as (select doc_id, min(paragraph) as paragraph from passages group by doc_id),
+  vh as (select query_id, doc_id, paragraph, similarity from ({_topk_sql('vec_id in (select item_id from benchmark)', 10).replace('with ' + _VEC, '')}) h join firsts on doc_id = vec_id),
+  th as (select query_id, doc_id, paragraph, round(0.75 - 0.04 * (rank - 1), 6) as confidence from cascade)"""
 
 
 def _hybrid(spark, sf):
-    hits = V.exact_topk(table(spark, sf, "embeddings").select("vec_id", "embedding"), _queries(spark, sf, 50), 10)
-    text = hits.filter("rank <= 8").select("query_id", (F.floor(F.col("vec_id") / 2) * 2).cast("bigint").alias("vec_id"), "rank")
-    return hits, text.groupBy("query_id", "vec_id").agg(F.min("rank").alias("rank"))
+    """(vector hits as passages, text hits of the cascade), each (query_id, doc_id, paragraph, a score)."""
+    passages, batch = _p(spark, sf), _batch(spark, sf)
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = vectors.join(batch, vectors["vec_id"] == batch["query_id"], "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = V.to_passages(V.exact_topk(vectors, asked, 10), passages)
+    text = R.tiered_search(passages, batch, K).select("query_id", *R.KEY, R.rank_confidence(F.col("rank") - 1).alias("confidence"))
+    return hits, text.filter("confidence is not null")
 
 
 @query(
     "hybrid_search",
-    f"""with {_HYB}, tt as (select query_id, vec_id, min(rank) as rank from th group by all)
-    select query_id, vec_id, similarity, 'vector' as source from vh union all
-    select query_id, vec_id, round(0.75 - 0.04 * (rank - 1), 6), 'text' from tt where not exists (select 1 from vh where vh.query_id = tt.query_id and vh.vec_id = tt.vec_id)""",
+    f"""with {_HYB} select query_id, doc_id, paragraph, similarity, 'vector' as source from vh union all
+    select query_id, doc_id, paragraph, confidence, 'text' from th where not exists (select 1 from vh where vh.query_id = th.query_id and vh.doc_id = th.doc_id and vh.paragraph = th.paragraph)""",
 )
 def hybrid_search(spark, sf):
     hits, text = _hybrid(spark, sf)
-    extra = text.join(hits, ["query_id", "vec_id"], "left_anti").select("query_id", "vec_id", R.rank_confidence(F.col("rank") - 1).alias("similarity"), F.lit("text").alias("source"))
-    return hits.select("query_id", "vec_id", "similarity", F.lit("vector").alias("source")).unionByName(extra.filter("similarity is not null"))
+    extra = text.join(hits, ["query_id", *R.KEY], "left_anti").select("query_id", *R.KEY, F.col("confidence").alias("similarity"), F.lit("text").alias("source"))
+    return hits.select("query_id", *R.KEY, "similarity", F.lit("vector").alias("source")).unionByName(extra)
 
 
 @query(
     "overlap_boost",
-    f"""with {_HYB}, tt as (select query_id, vec_id, round(0.75 - 0.04 * (min(rank) - 1), 6) as confidence from th group by all), vv as (select query_id, vec_id, similarity as confidence from vh)
-    select query_id, vec_id, round(case when vv.confidence is not null and tt.confidence is not null then least(vv.confidence + 0.1, 1.0) else coalesce(vv.confidence, tt.confidence) end, 6) as confidence,
-    case when vv.confidence is not null and tt.confidence is not null then 'both' when vv.confidence is not null then 'vector' else 'text' end as source from vv full join tt using (query_id, vec_id)""",
+    f"""with {_HYB}, vv as (select query_id, doc_id, paragraph, similarity as confidence from vh)
+    select query_id, doc_id, paragraph, round(case when vv.confidence is not null and th.confidence is not null then least(vv.confidence + 0.1, 1.0) else coalesce(vv.confidence, th.confidence) end, 6) as confidence,
+    case when vv.confidence is not null and th.confidence is not null then 'both' when vv.confidence is not null then 'vector' else 'text' end as source from vv full join th using (query_id, doc_id, paragraph)""",
 )
 def overlap_boost(spark, sf):
     hits, text = _hybrid(spark, sf)
-    return V.overlap_boost(hits.select("query_id", "vec_id", F.col("similarity").alias("confidence")), text.select("query_id", "vec_id", R.rank_confidence(F.col("rank") - 1).alias("confidence")), ["query_id", "vec_id"])
+    return V.overlap_boost(hits.select("query_id", *R.KEY, F.col("similarity").alias("confidence")), text, ["query_id", *R.KEY])
+
+
+@query(
+    "hits_in_edition",
+    f"""with {_HYB}, places as (select h.*, p.source from vh h join passages p using (doc_id, paragraph))
+    select h.query_id, h.doc_id, e.doc_id as shown_doc_id, h.paragraph, h.similarity from places h join (select source, paragraph, min(doc_id) as doc_id from passages where lang = 'en' group by all) e using (source, paragraph)""",
+)
+def hits_in_edition(spark, sf):
+    passages = _p(spark, sf)
+    hits, _ = _hybrid(spark, sf)
+    return V.in_edition(hits, passages, F.col("lang") == "en", ["source", "paragraph"]).select("query_id", "doc_id", "shown_doc_id", "paragraph", "similarity")
+
+
+@query("merged_similar_scores", f"with {_STRATEGIES}, d as (select *, lag(similarity) over (partition by query_id, strategy order by similarity desc, vec_id) as above from s) select query_id, strategy, vec_id, similarity, sum(case when above is null or above - similarity >= 0.02 then 1 else 0 end) over (partition by query_id, strategy order by similarity desc, vec_id) as band from d")
+def merged_similar_scores(spark, sf):
+    return V.score_bands(_strategies(spark, sf), ["query_id", "strategy"], "similarity", "vec_id", 0.02)
 
 
 @query("merge_keep_max", f"with {_STRATEGIES} select vec_id, max(similarity) as similarity from s group by vec_id order by similarity desc, vec_id limit 15")
@@ -359,7 +381,7 @@ def label_quality(spark, sf):
   where abs(len(word) - len(name)) <= 3 and levenshtein(lower(word), lower(name)) between 1 and case when len(name) <= 4 then 1 when len(name) <= 8 then 2 else 3 end""")
 def fuzzy_name_match(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("name"))
-    words = part.select("p_partkey", F.substring("name", 2, 1000).alias("word"))
+    words = part.select("p_partkey", F.substr("name", F.lit(2)).alias("word"))
     return fuzzy_names(words, part.select("name").distinct(), "word", "name").select("p_partkey", "name", "word", F.col("distance").cast("bigint").alias("distance"))
 
 
