@@ -110,3 +110,9 @@ def word_times(text: Column, start: Column, end: Column) -> Column:
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
     each = (end - start) / F.greatest(F.size(words), F.lit(1))
     return F.transform(words, lambda w, i: F.struct(w.alias("text"), (start + each * i).alias("start"), (start + each * (i + 1)).alias("end"), F.lit(0.9).alias("confidence")))
+
+
+def levels(frames: DataFrame, keys: list[str], sample: str, full: int = 32767) -> DataFrame:
+    """(keys, rms, peak) of samples, one a row, as shares of full scale: two sums and a maximum, so no key is gathered."""
+    x = F.col(sample).cast("double") / full
+    return frames.groupBy(*keys).agg(F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"))

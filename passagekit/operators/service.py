@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagekit.streaming.drivers import fold
+from passagekit.streaming.transitions import Walk
+
 
 def highlight(text: Column, query: Column) -> Column:
     """array<struct<word, hit>>: the words of a text, and whether the query (words of two letters or more) has them."""
@@ -107,6 +112,12 @@ def plan_summaries(plans: DataFrame) -> DataFrame:
     return plans.select("id", "title", "updatedAt", F.size("items").alias("n_items"), done.alias("n_completed")).orderBy(F.desc("updatedAt"), "id")
 
 
+def edition_of(found: DataFrame, editions: DataFrame, abbreviation: str = "edition") -> DataFrame:
+    """Rows with a found abbreviation and the edition (id, abbreviation, ..) that has it, whatever the case; others go."""
+    known = editions.withColumn("_a", F.lower("abbreviation")).drop("abbreviation")
+    return found.withColumn("_a", F.lower(abbreviation)).join(known, "_a").drop("_a")
+
+
 def expected_books(refs: DataFrame, books: DataFrame) -> DataFrame:
     """Plan references whose book is a name or an abbreviation, whatever the case: two equality joins, not one OR."""
     low = refs.withColumn("_b", F.lower(F.trim("book")))
@@ -122,11 +133,20 @@ def utterances(parts: DataFrame, key: str, order: str) -> DataFrame:
     return grouped.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda p: p["text"]), " ").alias("text"), F.max(order).alias("last"))
 
 
+def walk_positions(commands: DataFrame, key: str, order: str, size: int) -> DataFrame:
+    """(key, order, command, position) after each command: `next` and `previous` stay within 0..size-1, others change nothing."""
+    types = dict(commands.dtypes)
+    return fold(commands, functools.partial(Walk, size), key, [order], f"{key} {types[key]}, {order} {types[order]}, command string, position int")
+
+
 def walk(commands: DataFrame, key: str, order: str, size: int) -> DataFrame:
-    """Positions after each `next` or `previous`, held within 0..size-1: the clamped walk as a fold over one key's commands."""
-    listed = commands.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "command"))), lambda c: F.when(c["command"] == "next", 1).when(c["command"] == "previous", -1).otherwise(0)).alias("steps"))
-    last = F.aggregate("steps", F.lit(0), lambda at, s: F.greatest(F.lit(0), F.least(F.lit(size - 1), at + s)))
-    return listed.select(key, last.alias("position"))
+    """(key, position) after the last command of each key."""
+    return walk_positions(commands, key, order, size).groupBy(key).agg(F.max_by("position", order).alias("position"))
+
+
+def live_preview(detections: DataFrame, least: float = 0.90) -> DataFrame:
+    """Detections sure and whole enough to be shown while someone still speaks: a book, a chapter and a verse, no chapter alone."""
+    return detections.filter(~F.col("chapter_only") & (F.col("book_number") > 0) & (F.col("chapter") > 0) & (F.col("verse_start") > 0) & (F.col("confidence") >= least))
 
 
 def queue_route(detections: DataFrame, least: float = 0.80) -> DataFrame:
@@ -152,4 +172,4 @@ def roman_name(typed: Column) -> Column:
     """A leading digit 1 to 3 as the roman numeral that some editions use."""
     digit = F.regexp_extract(typed, r"^([1-3])\s", 1)
     numeral = F.when(digit == "1", "I").when(digit == "2", "II").when(digit == "3", "III")
-    return F.when(numeral.isNull(), typed).otherwise(F.concat(numeral, F.substring(typed, 2, 1000)))
+    return F.when(numeral.isNull(), typed).otherwise(F.concat(numeral, F.substr(typed, F.lit(2))))

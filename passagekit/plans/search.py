@@ -305,7 +305,10 @@ def merge_keep_max(spark, sf):
     return R.keep_best(_strategies(spark, sf).select("vec_id", "similarity", "strategy"), ["vec_id"], "similarity", "strategy", 15).select("vec_id", "similarity")
 
 
-@query("sentence_windows", None)
+@query("sentence_windows", r"""with s as (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda s: trim(s, ' ')), lambda s: s != '') as s from conversations),
+  r as (select conv_id, turn, list_distinct_in_order from (select conv_id, turn, list_filter(flatten(list_transform(range(1, len(s) + 1), lambda i: [s[i], case when i < len(s) then s[i] || '. ' || s[i + 1] end])), lambda w: w is not null and len(regexp_split_to_array(trim(w), '\s+')) >= 5) as list_distinct_in_order from s)),
+  u as (select conv_id, turn, unnest(list_distinct_in_order) as window_text, generate_subscripts(list_distinct_in_order, 1) as p from r), f as (select conv_id, turn, window_text, min(p) as p from u group by all)
+  select conv_id, turn, cast(row_number() over (partition by conv_id, turn order by p) - 1 as int) as window_no, window_text from f""")
 def sentence_windows(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(X.sentence_windows(F.col("text"))).alias("window_no", "window_text"))
 

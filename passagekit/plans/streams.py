@@ -116,6 +116,29 @@ def concept_terms(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", F.array_join(V.concept_terms(F.col("text"), ["that", "on", "it", "heart"]), " ").alias("concepts"))
 
 
+#: What is said, and the book, chapter and verse that it means (0 for none).
+_SAID = [
+    ("Rom 8:28", 45, 8, 28), ("turn to Heb 11:1", 58, 11, 1), ("Rev 3:20", 66, 3, 20), ("we read in Dan 9:24", 27, 9, 24), ("Jn 3:16 says", 43, 3, 16), ("Mt 5:3", 40, 5, 3),
+    ("Ps 23:1", 19, 23, 1), ("Phlm 1:6", 57, 1, 6), ("Song of Songs 2:1", 22, 2, 1), ("two timothy 3:16", 55, 3, 16), ("one john chapter 2 verse 3", 62, 2, 3),
+    ("song chapter 23 verse 1", 19, 23, 1), ("1Cor 13:4", 46, 13, 4), ("III John 1:2", 64, 1, 2), ("Mark 30:1", 0, 0, 0), ("the weather today", 0, 0, 0),
+]
+_SAID_SQL = "select event_id, cast(b[event_id % 16 + 1] as int) as book_number, cast(c[event_id % 16 + 1] as int) as chapter, cast(v[event_id % 16 + 1] as int) as verse_start from events, (select {} as b, {} as c, {} as v) where b[event_id % 16 + 1] > 0".format(*([x[i] for x in _SAID] for i in (1, 2, 3)))
+
+
+def _said(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.col("event_id").alias("ts"), F.get(F.array(*[F.lit(x[0]) for x in _SAID]), (F.col("event_id") % 16).cast("int")).alias("text"))
+
+
+@query("detect_table", _SAID_SQL)
+def detect_table(spark, sf):
+    return G.detect_references(_said(spark, sf), ["event_id"]).select("event_id", "book_number", "chapter", "verse_start")
+
+
+@query("detect_table_streamed", _SAID_SQL)
+def detect_table_streamed(spark, sf):
+    return D.fold(_said(spark, sf), S.Detector, "event_id", ["ts"], "event_id long, book_number int, chapter int, verse_start int")
+
+
 # Streams, folded in batch
 
 _FORM = r"array_to_string(list_filter(list_transform(regexp_split_to_array(lower(trim({})), '\s+'), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: w != ''), ' ')"
@@ -170,9 +193,8 @@ def latest_per_trigger(spark, sf):
 
 @query("stale_filtered", "select event_id, user_id from (select *, max(ts) over (partition by user_id order by event_id rows unbounded preceding) as newest from events) where epoch_us(newest) - epoch_us(ts) <= 3600000000")
 def stale_filtered(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = _events(spark, sf).withColumn("newest", F.max("ts").over(w))
-    return e.filter(F.unix_micros("newest") - F.unix_micros("ts") <= 3_600_000_000).select("event_id", "user_id")
+    e = _events(spark, sf).select("event_id", "user_id", F.unix_micros("ts").alias("at"))
+    return D.drop_stale(e, "user_id", "at", ["event_id"], "event_id long, user_id long", 3_600_000_000)
 
 
 @query("live_ranking", """with n as (select max(epoch_us(ts)) as now from events) select user_id, event_id, place from (select user_id, event_id, row_number() over (partition by user_id order by
@@ -219,7 +241,10 @@ def _cooldown():
     return S.Cooldown(60_000)
 
 
-@query("debounce")
+@query("debounce", """with recursive e as (select user_id, event_id, epoch_ms(ts) as ts, row_number() over (partition by user_id order by ts, event_id) as r from events),
+  f as (select user_id, event_id, r, ts as at, true as passed from e where r = 1 union all
+  select e.user_id, e.event_id, e.r, case when e.ts - f.at >= 3600000 then e.ts else f.at end, e.ts - f.at >= 3600000 from f join e on e.user_id = f.user_id and e.r = f.r + 1)
+  select user_id, event_id from f where passed""")
 def debounce(spark, sf):
     return D.fold(_folded(spark, sf), _debounce, "user_id", ["ts", "event_id"], "user_id long, event_id long")
 
@@ -228,7 +253,12 @@ def _debounce():
     return S.Debounce(3_600_000)
 
 
-@query("voice_gate")
+@query("voice_gate", """with recursive e as (select user_id, event_id, least(value / 100, 1.0) >= 0.5 as loud, row_number() over (partition by user_id order by ts, event_id) as r from events),
+  f as (select user_id, cast(null as bigint) as event_id, cast(0 as bigint) as r, false as is_open, 0 as l, 0 as q, 0 as n from (select distinct user_id from events) union all
+  select user_id, event_id, r, case when opens then true when closes then false else is_open end, case when closes then 0 else l1 end, q1, case when opens then 0 else n1 end from
+  (select *, not is_open and l1 >= 2 as opens, is_open and (q1 >= 3 or n1 >= 20) as closes from (select f.user_id, e.event_id, e.r, f.is_open,
+    case when e.loud then f.l + 1 else 0 end as l1, case when e.loud then 0 else f.q + 1 end as q1, f.n + case when f.is_open then 1 else 0 end as n1 from f join e on e.user_id = f.user_id and e.r = f.r + 1)))
+  select user_id, event_id, is_open from f where r > 0""")
 def voice_gate(spark, sf):
     return D.fold(_folded(spark, sf), _gate, "user_id", ["ts", "event_id"], "user_id long, event_id long, is_open boolean")
 
@@ -254,7 +284,7 @@ def queue_changes(spark, sf):
     return D.fold(found, S.Queue, "user_id", ["event_id", "book_number", "chapter"], "user_id long, event_id long, change string, place int")
 
 
-@query("rolling_prompt")
+@query("rolling_prompt", """select conv_id, turn, left(array_to_string(list(coalesce(text, '')) over (partition by conv_id order by turn desc rows between current row and 5 following), ' '), 1200) as prompt from conversations""")
 def rolling_prompt(spark, sf):
     rows = _turns(spark, sf).select("conv_id", "turn", (F.col("turn") * 10_000).alias("ts"), "text")
     return D.fold(rows, S.RollingPrompt, "conv_id", ["turn"], "conv_id long, turn long, prompt string")
@@ -316,9 +346,8 @@ def repeat_sections(spark, sf):
 
 @query("audio_level", "select user_id, round(sqrt(avg(v * v)) / 32767, 6) as rms, round(max(abs(v)) / 32767, 6) as peak from (select user_id, cast(floor(value * 100) as bigint) % 32767 as v from events) group by all")
 def audio_level(spark, sf):
-    frames = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list((F.floor(F.col("value") * 100) % 32767).cast("int")).alias("s"))
-    rms, peak = W.level(F.col("s"))
-    return frames.select("user_id", F.round(rms, 6).alias("rms"), F.round(peak, 6).alias("peak"))
+    frames = table(spark, sf, "events").select("user_id", (F.floor(F.col("value") * 100) % 32767).alias("s"))
+    return W.levels(frames, ["user_id"], "s").select("user_id", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"))
 
 
 @query("toggle_membership", "select o_orderkey, case when list_contains([1, 2, 3, 4], o_custkey % 6) then len([1, 2, 3, 4]) - 1 else 5 end as n_left from orders")

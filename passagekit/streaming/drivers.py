@@ -80,8 +80,7 @@ def latest_per_key(df: DataFrame, key: list[str], seq: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*others), seq).alias("_r")).select(*key, "_r.*")
 
 
-def drop_stale(df: DataFrame, key: str, seq: str, schema: str) -> DataFrame:
-    """A stream (or table) without rows that arrive after a newer one of their key: the newest sequence number of each key is
-    state. In one trigger, and in a table, rows come in the order of column `arrived`."""
-    run = stream if df.isStreaming else fold
-    return run(df, functools.partial(Newest, seq), key, ["arrived"], schema)
+def drop_stale(df: DataFrame, key: str, seq: str, order: list[str], schema: str, slack: int = 0) -> DataFrame:
+    """Without the rows that arrive, in `order`, more than `slack` behind the newest sequence number of their key, which is state in a
+    stream; rows of one trigger are put in order."""
+    return (stream if df.isStreaming else fold)(df, functools.partial(Newest, seq, slack), key, order, schema)

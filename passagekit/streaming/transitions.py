@@ -282,11 +282,11 @@ class RollingPrompt:
 
 
 class Newest:
-    """Rows that are not older, by their sequence number, than the newest one before them; the rest are stale. Rows
-    without a number pass and change nothing."""
+    """Rows that lie at most `slack` behind the newest sequence number before them; the rest are stale. Rows without a
+    number pass and change nothing."""
 
-    def __init__(self, seq: str = "seq"):
-        self.seq = seq
+    def __init__(self, seq: str = "seq", slack: int = 0):
+        self.seq, self.slack = seq, slack
 
     def start(self) -> dict:
         return {"newest": None}
@@ -295,9 +295,24 @@ class Newest:
         seq, newest = e.get(self.seq), s["newest"]
         if seq is None:
             return s, [e]
-        if newest is not None and seq < newest:
+        if newest is not None and seq < newest - self.slack:
             return s, []
-        return {"newest": seq}, [e]
+        return {"newest": seq if newest is None else max(newest, seq)}, [e]
+
+
+class Walk:
+    """Positions 0..size-1 under `next` and `previous`; one row for each command."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def start(self) -> dict:
+        return {"at": 0}
+
+    def step(self, s: dict, e: dict) -> tuple[dict, list[dict]]:
+        move = {"next": 1, "previous": -1}.get(e["command"], 0)
+        at = max(0, min(self.size - 1, s["at"] + move))
+        return {"at": at}, [{**e, "position": at}]
 
 
 class Queue:
