@@ -116,3 +116,35 @@ def levels(frames: DataFrame, keys: list[str], sample: str, full: int = 32767) -
     """(keys, rms, peak) of samples, one a row, as shares of full scale: two sums and a maximum, so no key is gathered."""
     x = F.col(sample).cast("double") / full
     return frames.groupBy(*keys).agg(F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"))
+
+
+def queue_positions(live: DataFrame, queue: DataFrame, session: str, ref: str = "ref", pos: str = "pos") -> DataFrame:
+    """live rows with the first place of the queue (session, ref, pos) that has the same reference; null where none has."""
+    first = queue.groupBy(session, ref).agg(F.min(pos).alias("queue_pos"))
+    return live.join(first, [session, ref], "left")
+
+
+def source_losses(frames: DataFrame, key: str, ts: str, silence: int = 2000) -> DataFrame:
+    """(key, lost_at, recovered_at): each silence of more than `silence` (in the unit of ts) between the frames of a source is lost after that time
+    and recovered with the next frame."""
+    w = Window.partitionBy(key).orderBy(ts)
+    gaps = frames.select(key, F.lag(ts).over(w).alias("_p"), F.col(ts).alias("recovered_at")).filter(F.col("recovered_at") - F.col("_p") > silence)
+    return gaps.select(key, (F.col("_p") + silence).alias("lost_at"), "recovered_at")
+
+
+def speech_segments(frames: DataFrame, key: str, ts: str, is_open: Column, frame: int, longest: int = 10_000, least: int = 1_000) -> DataFrame:
+    """(key, segment_no, started, ended): runs of open frames, cut every `longest` (in the unit of ts); what is
+    shorter than `least` goes. A frame lasts `frame`."""
+    w = Window.partitionBy(key).orderBy(ts)
+    marked = frames.select(key, ts, F.coalesce(is_open, F.lit(False)).alias("_o")).withColumn("_was", F.coalesce(F.lag("_o").over(w), F.lit(False)))
+    runs = marked.withColumn("_run", F.sum(F.when(F.col("_o") & ~F.col("_was"), 1).otherwise(0)).over(w)).filter("_o")
+    runs = runs.withColumn("_part", F.floor((F.col(ts) - F.min(ts).over(Window.partitionBy(key, "_run"))) / longest))
+    cut_up = runs.groupBy(key, "_run", "_part").agg(F.min(ts).alias("started"), (F.max(ts) + frame).alias("ended")).filter(F.col("ended") - F.col("started") >= least)
+    return cut_up.withColumn("segment_no", F.row_number().over(Window.partitionBy(key).orderBy("started")).cast("bigint")).select(key, "segment_no", "started", "ended")
+
+
+def merge_equivalent(found: DataFrame, session: list[str], ref: str, order: str) -> DataFrame:
+    """One row for each reference that is the same but for case and blanks: that of the highest confidence, then the latest."""
+    plain = F.lower(F.regexp_replace(ref, r"\s+", ""))
+    w = Window.partitionBy(*session, "_k").orderBy(F.desc("confidence"), F.desc(order))
+    return found.withColumn("_k", plain).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_k", "_r")

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekit.functions.text import and_terms, or_terms, tokens
-from passagekit.runtime import cut
+from passagekit.runtime import cut, ship_code
 
 K1, B = 1.2, 0.75
+#: Queries that a scan of all passages takes at once.
+MOST_TYPED = 64
 #: A negative or zero inverse document frequency counts as this.
 LEAST_IDF = 1e-6
 KEY = ["doc_id", "paragraph"]
@@ -208,6 +211,74 @@ def keep_best(found: DataFrame, keys: list[str], score: str, order: str, k: int)
     return found.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").orderBy(F.desc(score), *keys).limit(k)
 
 
+def window_errors(pattern: str, text: str) -> int:
+    """The fewest edits between a pattern and any stretch of a text (bit-parallel)."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top, errors = (1 << len(pattern)) - 1, 1 << len(pattern) - 1, len(pattern)
+    up, down, best = full, 0, errors
+    for c in text:
+        eq = where.get(c, 0)
+        xv, xh = eq | down, (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(xh | up) & full, up & xh
+        errors += bool(plus & top) - bool(minus & top)
+        plus, minus = plus << 1 & full, minus << 1 & full
+        up, down = minus | ~(xv | plus) & full, plus & xv
+        best = min(best, errors)
+    return best
+
+
+def field_score(query: str, text: str, threshold: float = 0.35, piece: int = 32) -> float | None:
+    """0.001 (found) to 1: the mean share of errors of the query's pieces where they fit best, those beyond the threshold
+    adding nothing; 0 for equal texts, None if no piece fits."""
+    if query == text:
+        return 0.0
+    starts = [*range(0, len(query) - piece + 1, piece)] or [0]
+    if len(query) > piece and len(query) % piece:
+        starts.append(len(query) - piece)
+    pieces = [query[a : a + piece] for a in starts]
+    shares = [e / len(x) for x in pieces if (e := window_errors(x, text)) / len(x) <= threshold]
+    return sum(max(0.001, x) for x in shares) / len(pieces) if shares else None
+
+
+def context_similarity(query: str, fields: list[tuple[str, float]], threshold: float = 0.35) -> float:
+    """1 less the product of the fields' scores, each to the power of its weight over the root of its number of words."""
+    total, found = 1.0, False
+    for text, weight in fields:
+        score = field_score(query, text.lower(), threshold)
+        if score is not None:
+            found = True
+            total *= max(score, 2.0**-52) ** (weight * round(1 / max(1, len(text.split())) ** 0.5, 3))
+    return round(1 - min(1.0, total), 4) if found else 0.0
+
+
+def context_search(passages: DataFrame, queries: DataFrame, book: str = "source", k: int = 15, least: float = 0.55) -> DataFrame:
+    """(query_id, rank, doc_id, paragraph, similarity): passages that contain something like a query (query_id, query of two
+    characters or more), by text (0.92) and book name (0.08), at least `least`. Every passage is read for every query of the
+    batch, so it is meant for the few queries that someone types; more than MOST_TYPED raise an error."""
+    ship_code(passages.sparkSession)
+    asked = [(r.query_id, " ".join((r.query or "").lower().split())) for r in queries.limit(MOST_TYPED + 1).collect()]
+    if len(asked) > MOST_TYPED:
+        raise ValueError(f"more than {MOST_TYPED} queries")
+    asked = [(i, q) for i, q in asked if len(q) >= 2]
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for doc_id, paragraph, text, name in zip(*(c.to_pylist() for c in b.columns)):
+                for query_id, q in asked:
+                    similarity = context_similarity(q, [(text or "", 0.92), (name or "", 0.08)])
+                    if similarity >= least:
+                        found.append((query_id, doc_id, paragraph, similarity))
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query_id", *KEY, "similarity"])
+
+    scored = passages.select(*KEY, "text", F.col(book)).mapInArrow(run, "query_id long, doc_id long, paragraph long, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *KEY)
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).select("query_id", "rank", *KEY, "similarity")
+
+
 def fuzzy_similarity(query: Column, text: Column) -> Column:
     """1 - edit distance / longer length, both in lower case (an approximation of client-side fuzzy search)."""
     a, b = F.lower(query), F.lower(text)

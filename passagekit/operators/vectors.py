@@ -184,6 +184,30 @@ def synonym_variants(texts: DataFrame, synonyms: DataFrame, most: int = 3) -> Da
     return texts.select("id", F.lit(0).cast("bigint").alias("variant_no"), F.col("text").alias("variant")).unionByName(made.select("id", "variant_no", changed.alias("variant")))
 
 
+def synonym_map(groups: DataFrame) -> DataFrame:
+    """(term, synonym, ord) of groups (group_no, ord, word): every word of a group stands for all others of it. A pair that several
+    groups have counts once, at its first place; ord numbers a term's synonyms by group, then by place."""
+    words = groups.select("group_no", "ord", F.lower("word").alias("word"))
+    pairs = words.select("group_no", F.col("word").alias("term")).join(words, "group_no").filter("term != word")
+    first = pairs.groupBy("term", F.col("word").alias("synonym")).agg(F.min(F.struct("group_no", "ord")).alias("at"))
+    return first.withColumn("ord", F.row_number().over(Window.partitionBy("term").orderBy("at", "synonym")).cast("bigint")).select("term", "synonym", "ord")
+
+
+def semantic_detections(hits: DataFrame, event: list[str], least: float = 0.42, k: int = 8) -> DataFrame:
+    """(event, vec_id, similarity, chunk_no, place): of the hits of an event's chunks (event, chunk_no, vec_id, similarity), at
+    least `least` each, the one of the first chunk that found a vector; best k an event."""
+    kept = hits.filter(F.col("similarity") >= least).groupBy(*event, "vec_id").agg(F.min_by(F.struct("similarity", "chunk_no"), "chunk_no").alias("h"))
+    w = Window.partitionBy(*event).orderBy(F.desc("similarity"), "vec_id")
+    return kept.select(*event, "vec_id", "h.similarity", "h.chunk_no").withColumn("place", F.row_number().over(w).cast("bigint")).filter(F.col("place") <= k)
+
+
+def merge_shown(found: DataFrame, key: list[str], order: str, numbers: list[str], texts: list[str], any_of: list[str], all_of: list[str]) -> DataFrame:
+    """One row a key of detections that are shown twice: the highest confidence, for each number the first that is not 0, for each
+    text the first that is not empty, flags true for any (`any_of`) or for all (`all_of`)."""
+    first = [F.min_by(c, F.when(F.col(c) != 0, F.col(order))).alias(c) for c in numbers] + [F.min_by(c, F.when(F.col(c) != "", F.col(order))).alias(c) for c in texts]
+    return found.groupBy(*key).agg(F.max("confidence").alias("confidence"), *first, *[F.bool_or(c).alias(c) for c in any_of], *[F.bool_and(c).alias(c) for c in all_of])
+
+
 #: Concept words, in list order.
 CONCEPTS = (
     "love faith grace mercy sin salvation forgiveness righteousness holy spirit prayer worship heaven eternal life death "

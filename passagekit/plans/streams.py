@@ -360,3 +360,58 @@ def toggle_membership(spark, sf):
 def word_times(spark, sf):
     w = W.word_times(F.col("text"), F.lit(0.0), F.lit(10.0))
     return _turns(spark, sf).select("conv_id", "turn", w.alias("w")).select("conv_id", "turn", F.size("w").cast("bigint").alias("n_words"), F.round(F.col("w")[0]["end"] - F.col("w")[0]["start"], 6).alias("each"))
+
+
+# Sources, queues and what is shown
+
+
+@query("source_losses", """select user_id, before + 7200000000 as lost_at, recovered_at from (select user_id, lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as before, epoch_us(ts) as recovered_at from events) where recovered_at - before > 7200000000""")
+def source_losses(spark, sf):
+    return W.source_losses(_events(spark, sf).select("user_id", F.unix_micros("ts").alias("at")), "user_id", "at", 7_200_000_000)
+
+
+@query("speech_segments", """with f as (select user_id, epoch_us(ts) as us, event_id, value >= 30 as o, coalesce(lag(value >= 30) over (partition by user_id order by epoch_us(ts), event_id), false) as was from events),
+  r as (select *, sum(case when o and not was then 1 else 0 end) over (partition by user_id order by us, event_id) as run from f), p as (select user_id, run, us, (us - min(us) over (partition by user_id, run)) // 21600000000 as part from r where o),
+  g as (select user_id, run, part, min(us) as started, max(us) + 1000 as ended from p group by all)
+  select user_id, row_number() over (partition by user_id order by started) as segment_no, started, ended from g where ended - started >= 600000000""")
+def speech_segments(spark, sf):
+    frames = _events(spark, sf).select("user_id", F.unix_micros("ts").alias("at"), F.col("value").alias("v"))
+    return W.speech_segments(frames, "user_id", "at", F.col("v") >= 30, 1_000, 21_600_000_000, 600_000_000)
+
+
+@query("queue_positions", """select o_orderkey, o_custkey, o_orderpriority, queue_pos from orders left join (select o_custkey, o_orderpriority, min(o_orderkey) as queue_pos from orders where o_orderstatus = 'O' group by all) using (o_custkey, o_orderpriority) where o_orderstatus = 'F'""")
+def queue_positions(spark, sf):
+    orders = table(spark, sf, "orders")
+    queue = orders.filter("o_orderstatus = 'O'").select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("pos"))
+    live = orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return W.queue_positions(live, queue, "o_custkey", "o_orderpriority").select("o_orderkey", "o_custkey", "o_orderpriority", "queue_pos")
+
+
+@query("merge_equivalent", """select user_id, event_id, event_type, confidence from (select *, round(least(value / 100, 1.0), 6) as confidence from events) qualify row_number() over (partition by user_id, lower(event_type) order by confidence desc, event_id desc) = 1""")
+def merge_equivalent(spark, sf):
+    spelled = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_type")))
+    found = table(spark, sf, "events").select("user_id", "event_id", spelled.alias("ref"), "event_type", F.round(F.least(F.col("value") / 100, F.lit(1.0)), 6).alias("confidence"))
+    return W.merge_equivalent(found, ["user_id"], "ref", "event_id").select("user_id", "event_id", "event_type", "confidence")
+
+
+@query("merge_shown", """select user_id, max(round(value / 100, 6)) as confidence, min_by(event_id % 3, event_id) filter (event_id % 3 != 0) as chapter, min_by(event_type, event_id) filter (event_type != 'click') as kind, bool_or(event_id % 5 = 0) as is_direct, bool_and(event_id % 2 = 0) as chapter_only
+  from (select user_id, event_id, value, event_type from events) group by user_id""")
+def merge_shown(spark, sf):
+    e = table(spark, sf, "events")
+    found = e.select("user_id", "event_id", F.round(F.col("value") / 100, 6).alias("confidence"), (F.col("event_id") % 3).alias("chapter"), F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type")).alias("kind"), (F.col("event_id") % 5 == 0).alias("is_direct"), (F.col("event_id") % 2 == 0).alias("chapter_only"))
+    return V.merge_shown(found, ["user_id"], "event_id", ["chapter"], ["kind"], ["is_direct"], ["chapter_only"])
+
+
+@query("semantic_detections", """with h as (select user_id, event_id % 4 as chunk_no, event_id % 7 as vec_id, max(round(least(value / 100, 1.0), 6)) as similarity from events group by all),
+  f as (select user_id, vec_id, min_by(similarity, chunk_no) as similarity, min(chunk_no) as chunk_no from h where similarity >= 0.42 group by all)
+  select *, row_number() over (partition by user_id order by similarity desc, vec_id) as place from f qualify place <= 3""")
+def semantic_detections(spark, sf):
+    e = table(spark, sf, "events").select("user_id", (F.col("event_id") % 4).alias("chunk_no"), (F.col("event_id") % 7).alias("vec_id"), F.round(F.least(F.col("value") / 100, F.lit(1.0)), 6).alias("s"))
+    hits = e.groupBy("user_id", "chunk_no", "vec_id").agg(F.max("s").alias("similarity"))
+    return V.semantic_detections(hits, ["user_id"], k=3)
+
+
+@query("synonym_map", """with g as (select n_regionkey as group_no, n_nationkey as ord, lower(n_name) as word from nation), p as (select a.word as term, b.word as synonym, min((b.group_no, b.ord)) as place from g a join g b on a.group_no = b.group_no and a.word != b.word group by all)
+  select term, synonym, row_number() over (partition by term order by place, synonym) as ord from p""")
+def synonym_map(spark, sf):
+    return V.synonym_map(table(spark, sf, "nation").select(F.col("n_regionkey").alias("group_no"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("word")))

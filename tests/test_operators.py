@@ -154,3 +154,28 @@ def test_plans(spark):
     assert [r.id for r in plans.filter("title != ''").collect()] == ["1", "3"]
     moved = spark.range(5).select("id", W.move_item(F.col("id"), 3, 1).alias("m")).collect()
     assert [r.m for r in moved] == [0, 2, 3, 1, 4]
+
+
+def test_window_errors_against_the_plain_table():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        p, t = ("".join(rng.choices("abc ", k=rng.randint(a, 12))) for a in (1, 0))
+        row = list(range(len(p) + 1))
+        best = row[-1]
+        for c in t:
+            last, row[0] = row[0], 0
+            for i, d in enumerate(p, 1):
+                last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (c != d))
+            best = min(best, row[-1])
+        assert R.window_errors(p, t) == best
+
+
+def test_context_search_finds_short_queries_in_long_passages(spark):
+    long = "In the beginning was the word and the word was with god and so it went on for a good while"
+    p = spark.createDataFrame([(1, 1, long, "John"), (1, 2, "Something else entirely", "John"), (2, 1, "the wrod was wiht us", "Mark")], "doc_id long, paragraph long, text string, source string")
+    q = spark.createDataFrame([(1, "The  word was with"), (2, "x"), (3, "zzzzzz qqqq")], "query_id long, query string")
+    got = [(r.query_id, r.rank, r.doc_id, r.paragraph) for r in R.context_search(p, q, least=0.1).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 1, 1), (1, 2, 2, 1)] or got == [(1, 1, 2, 1), (1, 2, 1, 1)]
+    assert R.context_similarity("abc", [("abc", 1.0)]) == 1.0 and R.context_similarity("abc", [("xyz", 1.0)]) == 0.0
