@@ -110,9 +110,9 @@ def resolve_with_fallback(spark, sf):
     return orders.join(known, "o_custkey", "left").join(keyed, "key", "left").select("o_orderkey", F.coalesce("by_id", "by_key", F.lit("")).alias("text"))
 
 
-@query("anti_unmatched", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("anti_unmatched", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def anti_unmatched(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").filter("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("semi_valid", "select o_orderkey, o_custkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
@@ -132,18 +132,8 @@ def release_gate(spark, sf):
     return C.release_gate(table(spark, sf, "customer"), allowed, "c_nationkey", F.col("c_acctbal") < 0)
 
 
-@query("impossible_references", "select l_orderkey, l_linenumber, l_partkey % 70 as book, l_suppkey as chapter from lineitem where not (l_partkey % 70 between 1 and 66 and l_suppkey between 1 and case l_partkey % 70 when 19 then 150 when 1 then 50 else 66 end)")
+@query("impossible_references", f"select l_orderkey, l_linenumber, l_partkey % 70 as book, l_suppkey as chapter from lineitem where not (l_partkey % 70 between 1 and 66 and l_suppkey between 1 and {MAX_CHAPTER}[l_partkey % 70])")
 def impossible_references(spark, sf):
-    from passagekit.operators.references import is_valid  # noqa: F401  the full table is tested against its own list
-
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 70).alias("book"), F.col("l_suppkey").alias("chapter"))
-    most = F.when(F.col("book") == 19, 150).when(F.col("book") == 1, 50).otherwise(66)
-    return rows.filter(~(F.col("book").between(1, 66) & F.col("chapter").between(1, most)))
-
-
-@query("impossible_references_all", f"select l_orderkey, l_linenumber, l_partkey % 70 as book, l_suppkey as chapter from lineitem where not (l_partkey % 70 between 1 and 66 and l_suppkey between 1 and {MAX_CHAPTER}[l_partkey % 70])")
-def impossible_references_all(spark, sf):
-    """impossible_references by every book's own number of chapters."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 70).alias("book"), F.col("l_suppkey").alias("chapter"))
     return rows.filter(~is_valid(F.col("book"), F.col("chapter")))
 

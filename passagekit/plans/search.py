@@ -321,30 +321,11 @@ def sentence_counts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(X.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
 
 
-@query("jaccard_similarity", f"""with w as (select item_id, list_distinct(list_filter({_TOK.format('text')}, lambda t: strlen(t) >= 2)) as ws from benchmark)
-  select a.item_id as a, b.item_id as b, round(case when len(list_distinct(list_concat(a.ws, b.ws))) = 0 then 1.0 else len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) end, 6) as jaccard from w a join w b on b.item_id = a.item_id + 1""")
-def jaccard_similarity(spark, sf):
-    w = table(spark, sf, "benchmark").select("item_id", X.word_set(F.col("text")).alias("ws"))
-    nexts = w.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("ws").alias("vs"))
-    return w.join(nexts, "item_id").select(F.col("item_id").alias("a"), "b", F.round(X.jaccard(F.col("ws"), F.col("vs")), 6).alias("jaccard"))
-
-
 @query("term_accuracy", f"""select item_id, round(len(list_filter(({_TOK.format('text')})[1:6], lambda t: contains(lower(string_split(text, chr(10))[1]), t))) / len(({_TOK.format('text')})[1:6]), 6) as accuracy from benchmark""")
 def term_accuracy(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.round(X.term_accuracy(F.split("text", "\n")[0], F.slice(X.tokens(F.col("text")), 1, 6)), 6).alias("accuracy"))
 
 
-@query(
-    "word_overlap",
-    f"""with w as (select doc_id, list_distinct(list_filter({_TOK.format('text')}, lambda t: strlen(t) >= 2)) as ws from documents), b as (select item_id, list_distinct(list_filter({_TOK.format('text')}, lambda t: strlen(t) >= 2)) as bs from benchmark)
-    select item_id, doc_id, round(case when len(bs) = 0 then 0.0 else len(list_intersect(bs, ws)) / len(bs) end, 6) as overlap from b join w on doc_id % 40 = item_id""",
-)
-def word_overlap(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.word_set(F.col("text")).alias("ws"))
-    bench = table(spark, sf, "benchmark").select("item_id", X.word_set(F.col("text")).alias("bs"))
-    return docs.join(F.broadcast(bench), "item_id").select("item_id", "doc_id", F.round(X.overlap(F.col("bs"), F.col("ws")), 6).alias("overlap"))
-
-
 def _distinct_words(rows, key):
     """(key, word, n): the distinct words of each row, and how many it has."""
     return rows.select(key, X.word_set(F.col("text")).alias("ws")).select(key, F.size("ws").alias("n"), F.explode("ws").alias("word"))
@@ -355,18 +336,18 @@ def _word_rows(name, key, rows):
     return f"{name} as (select {key}, len(ws) as n, unnest(ws) as word from (select {key}, list_distinct(list_filter({_TOK.format('text')}, lambda t: strlen(t) >= 2)) as ws from {rows}))"
 
 
-@query("word_overlap_all", f"""with {_word_rows('w', 'doc_id', 'documents')}, {_word_rows('b', 'item_id', 'benchmark')}
+@query("word_overlap", f"""with {_word_rows('w', 'doc_id', 'documents')}, {_word_rows('b', 'item_id', 'benchmark')}
   select item_id, doc_id, round(count(*) / any_value(b.n), 6) as overlap from b join w on b.word = w.word group by item_id, doc_id""")
-def word_overlap_all(spark, sf):
+def word_overlap(spark, sf):
     """Every document and benchmark item with a common word: the share of the item's words that the document has."""
     docs = _distinct_words(table(spark, sf, "documents"), "doc_id").drop("n")
     met = docs.join(_distinct_words(table(spark, sf, "benchmark"), "item_id"), "word")
     return met.groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.first("n"), 6).alias("overlap"))
 
 
-@query("jaccard_similarity_all", f"""with {_word_rows('w', 'item_id', 'benchmark')}
+@query("jaccard_similarity", f"""with {_word_rows('w', 'item_id', 'benchmark')}
   select a.item_id as a, b.item_id as b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) as jaccard from w a join w b on a.word = b.word and a.item_id < b.item_id group by a.item_id, b.item_id""")
-def jaccard_similarity_all(spark, sf):
+def jaccard_similarity(spark, sf):
     """Every two benchmark items with a common word."""
     words = _distinct_words(table(spark, sf, "benchmark"), "item_id")
     met = words.toDF("a", "n", "word").join(words.toDF("b", "m", "word"), "word").filter("a < b")
