@@ -16,6 +16,8 @@ from passagekit.runtime import ship_code
 
 #: Queries are broadcast up to this number; beyond it they are dealt out in blocks.
 MOST_BROADCAST = 4096
+#: Numbers in a packed block of vectors.
+BLOCK_NUMBERS = 1 << 19
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,9 +31,45 @@ def normalise(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+def _rows_of(ids: pa.Array, column: pa.Array):
+    """(length, ids, matrix) of the vectors of each length; vectors with a null or non-finite number go."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    starts, values = np.cumsum(sizes) - sizes, column.flatten().to_numpy(zero_copy_only=False)
+    ids = ids.to_numpy()
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        block = values[starts[at][:, None] + np.arange(n)]
+        whole = np.isfinite(block).all(axis=1)
+        if whole.any():
+            yield n, ids[at[whole]], block[whole]
+
+
+def _best_of_block(query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int, digits: int):
+    """Record batches (query_id, vec_id, similarity): of a block of rows, each query's best k by rounded product, then id, and any
+    whose rounding is in doubt."""
+    last = max(0, ids.size - k)
+    for first in range(0, len(query_ids), 256):
+        products = rows[first : first + 256] @ block.T
+        least = np.partition(products, last, axis=1)[:, last]
+        q, v = np.nonzero(products >= least[:, None] - 10.0**-digits)
+        found, near = products[q, v], ids[v]
+        rounded, part = np.round(found, digits), found * 10.0**digits % 1
+        doubt = np.abs(part - 0.5) < 1e-3
+        order = np.lexsort((near, -rounded, doubt, q))
+        group = 2 * q[order] + doubt[order]
+        begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if group.size else group
+        rank = np.arange(group.size) - np.repeat(begins, np.diff(np.append(begins, group.size)))
+        order = order[(rank < k) | doubt[order]]
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[first : first + 256][q[order]]), pa.array(near[order]), pa.array(found[order])], ["query_id", "vec_id", "similarity"])
+
+
+_SCORED = "query_id long, vec_id long, similarity double"
+
+
 def _best_of_blocks(vectors: DataFrame, queries: list, k: int, digits: int) -> DataFrame:
-    """(query_id, vec_id, similarity): for each query the best k vectors of every block of rows, and those that equal the k-th
-    when rounded. A block's products are one matrix."""
+    """(query_id, vec_id, similarity): for each query the best k vectors of every block of rows. A block's products are one matrix."""
     ship_code(vectors.sparkSession)
     by_size: dict[int, tuple[list[int], list]] = {}
     for q in queries:
@@ -44,29 +82,62 @@ def _best_of_blocks(vectors: DataFrame, queries: list, k: int, digits: int) -> D
     def run(batches):
         known = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, column = b.column(0).to_numpy(), b.column(1)
-            sizes = column.value_lengths().fill_null(0).to_numpy()
-            flat, starts = column.flatten(), np.cumsum(sizes) - sizes
-            values = flat.to_numpy(zero_copy_only=False)
-            for n, (query_ids, rows) in known.items():
-                at = np.flatnonzero(sizes == n)
-                if not at.size:
-                    continue
-                block = values[starts[at][:, None] + np.arange(n)]
-                whole = np.isfinite(block).all(axis=1)
-                at, block = at[whole], block[whole]
-                for first in range(0, len(query_ids), 256):
-                    products = rows[first : first + 256] @ block.T
-                    least = np.partition(products, max(0, at.size - k), axis=1)[:, max(0, at.size - k)] if at.size else np.zeros(0)
-                    q, v = np.nonzero(products >= least[:, None] - 10.0**-digits) if at.size else (at, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[first : first + 256][q]), pa.array(ids[at[v]]), pa.array(products[q, v])], ["query_id", "vec_id", "similarity"])
-
-    return vectors.mapInArrow(run, "query_id long, vec_id long, similarity double").withColumn("similarity", F.round("similarity", digits))
-
-
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, blocks: int = 64, digits: int = 6) -> DataFrame:
+            for n, ids, block in _rows_of(b.column(0), b.column(1)):
+                if n in known:
+                    yield from _best_of_block(*known[n], ids, block, k, digits)
+
+    return vectors.mapInArrow(run, _SCORED).withColumn("similarity", F.round("similarity", digits))
+
+
+def _packed_vectors(most: int):
+    """(id, vector, g) -> (g, n, ids, numbers): vectors of one length and g, up to `most` a row, as bytes."""
+
+    def run(batches):
+        for b in batches:
+            groups = b.column(2).to_numpy()
+            for g in np.unique(groups).tolist():
+                x = b.filter(pa.array(groups == g))
+                for n, ids, block in _rows_of(x.column(0), x.column(1)):
+                    step = max(1, min(most, BLOCK_NUMBERS // n))
+                    cuts = range(0, ids.size, step)
+                    made = [[g] * len(cuts), [n] * len(cuts), [ids[i : i + step].tobytes() for i in cuts], [block[i : i + step].tobytes() for i in cuts]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["g", "n", "ids", "numbers"])
+
+    return run
+
+
+def _best_of_pairs(k: int, digits: int):
+    """(n, query ids, query numbers, ids, numbers), each packed -> (query_id, vec_id, similarity): the best k of every pair of blocks."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                n, query_ids, rows, ids, block = (b.column(c)[i].as_py() for c in range(5))
+                query_ids, ids = (np.frombuffer(x, np.int64) for x in (query_ids, ids))
+                rows, block = (np.frombuffer(x, np.float64).reshape(-1, n) for x in (rows, block))
+                yield from _best_of_block(query_ids, rows, ids, block, k, digits)
+
+    return run
+
+
+def _best_of_dealt(vectors: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    """As _best_of_blocks, for any number of queries: they are dealt into groups of about MOST_BROADCAST, vectors are packed
+    into blocks, and every block meets every group as one matrix product."""
+    spark = vectors.sparkSession
+    ship_code(spark)
+    groups = max(1, -(-queries.count() // MOST_BROADCAST))
+    # Few groups are copied for several shares of the blocks, so that there is work for all cores.
+    shares = max(1, -(-4 * spark.sparkContext.defaultParallelism // groups))
+    schema = "g long, n long, ids binary, numbers binary"
+    dealt = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g")).repartition("g")
+    asked = dealt.mapInArrow(_packed_vectors(MOST_BROADCAST), schema).toDF("g", "n", "query_ids", "rows").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    blocks = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.lit(0).cast("long")).mapInArrow(_packed_vectors(BLOCK_NUMBERS), schema).drop("g")
+    blocks = blocks.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    pairs = blocks.join(asked, ["g", "share", "n"]).select("n", "query_ids", "rows", "ids", "numbers")
+    return pairs.mapInArrow(_best_of_pairs(k, digits), _SCORED).withColumn("similarity", F.round("similarity", digits))
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, digits: int = 6) -> DataFrame:
     """(query_id, rank, vec_id, similarity): best k by inner product, ties to the smaller id, at least `least`. A few thousand
     queries go to every task, where a block of rows and the queries make one matrix product; more are dealt out in blocks.
 
@@ -76,10 +147,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | No
     if len(asked) <= MOST_BROADCAST:
         scored = _best_of_blocks(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), asked, k, digits)
     else:
-        left = vectors.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-        right = queries.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = left.join(right, (left["_b"] == right["_b"]) & (F.size("embedding") == F.size("vector"))).drop(left["_b"], right["_b"])
-        scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("vector")), digits).alias("similarity"))
+        scored = _best_of_dealt(vectors, queries, k, digits)
     if least is not None:
         scored = scored.filter(F.col("similarity") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")

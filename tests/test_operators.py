@@ -179,3 +179,24 @@ def test_context_search_finds_short_queries_in_long_passages(spark):
     got = [(r.query_id, r.rank, r.doc_id, r.paragraph) for r in R.context_search(p, q, least=0.1).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 1, 1), (1, 2, 2, 1)] or got == [(1, 1, 2, 1), (1, 2, 1, 1)]
     assert R.context_similarity("abc", [("abc", 1.0)]) == 1.0 and R.context_similarity("abc", [("xyz", 1.0)]) == 0.0
+
+
+def test_many_queries_meet_blocks_of_vectors(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.25, 1.0]) for _ in range(3)] if i % 3 else [rng.random() for _ in range(5)]) for i in range(400)]
+    rows += [(1000, None), (1001, []), (1002, [1.0, None, 0.0]), (1003, [float("nan"), 1.0, 0.0]), (1004, [float("inf"), 0.0, 1.0]), *[(2000 + i, [1.0, 1.0, 1.0]) for i in range(30)]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.filter("vec_id % 2 = 0 and vec_id != 1004").selectExpr("vec_id as query_id", "embedding as vector")
+    few = sorted(map(tuple, V.exact_topk(vectors, queries, 4, least=0.1).collect()))
+    monkeypatch.setattr(V, "MOST_BROADCAST", 9)
+    monkeypatch.setattr(V, "BLOCK_NUMBERS", 100)
+    many = V.exact_topk(vectors, queries, 4, least=0.1)
+    assert sorted(map(tuple, many.collect())) == few and len(few) > 500
+    # Products are those of matrices, not an expression for each pair.
+    assert "zip_with" not in many._jdf.queryExecution().toString()
+    whole = {i: v for i, v in rows if v and None not in v and i not in (1003, 1004)}
+    for q in (2, 4, 2002):
+        near = sorted((-round(sum(a * b for a, b in zip(whole[q], v)), 6), i) for i, v in whole.items() if len(v) == len(whole[q]))[:4]
+        assert [(i, s) for x, _, i, s in few if x == q] == [(i, -s) for s, i in near if -s >= 0.1]
